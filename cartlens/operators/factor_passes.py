@@ -1,0 +1,89 @@
+"""Leading right singular vectors by repeated distributed passes.
+
+Used where the factors of the catalogue are too large for the driver. Both
+sides stay DataFrames; a pass is two joins with one sum per component. Only
+matrices of ``width x width`` numbers, whatever the data, reach the driver.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cartlens import constants as C
+from cartlens.session import cut_lineage
+
+SPARE_COLUMNS = 10
+PASSES = 7
+
+
+def wide_factors(cells: DataFrame, codes: DataFrame, rank: int, passes: int = PASSES) -> DataFrame:
+    """``code, f_0 … f_{rank-1}`` for cells ``user_id, code, score``."""
+    cells = cut_lineage(cells)
+    names = [f"f_{i}" for i in range(rank + SPARE_COLUMNS)]
+    basis = codes.select("code", *[_noise(i).alias(name) for i, name in enumerate(names)])
+    basis = _orthonormal(cut_lineage(basis), names)
+    for _ in range(passes):
+        image = _multiply(cells, basis, "code", "user_id", names)
+        basis = _orthonormal(cut_lineage(_multiply(cells, image, "user_id", "code", names)), names)
+        names = basis.columns[1:]
+    image = cut_lineage(_multiply(cells, basis, "code", "user_id", names))
+    values, vectors = np.linalg.eigh(_gram(image, names))
+    leading = vectors[:, np.argsort(values)[::-1][:rank]]
+    return _rotate(basis, names, leading)
+
+
+def _noise(column: int):
+    """Reproducible start value of a product in a column, between -1 and 1."""
+    return F.pmod(F.xxhash64("code", F.lit(C.SEED), F.lit(column)), F.lit(2_000_001)) / 1e6 - 1.0
+
+
+def _multiply(cells: DataFrame, side: DataFrame, on: str, to: str, names: list[str]) -> DataFrame:
+    sums = [F.sum(F.col("score") * F.col(name)).alias(name) for name in names]
+    return cells.join(side, on).groupBy(to).agg(*sums)
+
+
+def _gram(side: DataFrame, names: list[str]) -> np.ndarray:
+    """Inner products of the columns: one partial matrix per task, added up by Spark."""
+    width = len(names)
+
+    def partial(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        total = np.zeros((width, width))
+        for batch in batches:
+            block = batch.to_numpy()
+            total += block.T @ block
+        row, col = np.indices(total.shape)
+        yield pd.DataFrame({"row": row.ravel(), "col": col.ravel(), "value": total.ravel()})
+
+    parts = side.select(*names).mapInPandas(partial, "row long, col long, value double")
+    summed = parts.groupBy("row", "col").agg(F.sum("value").alias("value")).toPandas()
+    matrix = np.zeros((width, width))
+    matrix[summed["row"], summed["col"]] = summed["value"]
+    return matrix
+
+
+def _orthonormal(side: DataFrame, names: list[str]) -> DataFrame:
+    values, vectors = np.linalg.eigh(_gram(side, names))
+    solid = values > values.max() * 1e-12
+    return _rotate(side, names, vectors[:, solid] / np.sqrt(values[solid]))
+
+
+def _rotate(side: DataFrame, names: list[str], turn: np.ndarray) -> DataFrame:
+    key = side.columns[0]
+    out = [f"f_{i}" for i in range(turn.shape[1])]
+
+    def apply(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            turned = pd.DataFrame(batch[names].to_numpy() @ turn, columns=out)
+            turned.insert(0, key, batch[key].to_numpy())
+            yield turned
+
+    return side.mapInPandas(apply, f"{key} long, " + ", ".join(f"{name} double" for name in out))
