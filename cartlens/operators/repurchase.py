@@ -41,67 +41,73 @@ def purchase_history(order_items: DataFrame, orders: DataFrame, products: DataFr
     )
 
 
+def purchase_days(history: DataFrame) -> DataFrame:
+    """One row per user, product and day; the common input of training and serving.
+
+    ``line`` is the day's first line in order of time and line key.
+    """
+    return history.groupBy(*PAIR, F.to_date("order_date").alias("day")).agg(
+        F.min(F.struct("order_date", *LINE_KEY)).alias("line"),
+        F.min("order_date").alias("first_at"),
+        F.max("order_date").alias("last_at"),
+        F.count("*").alias("n_lines"),
+        F.sum("quantity").alias("total_quantity"),
+        F.count("quantity").alias("n_quantities"),
+        F.max("weight_gram").alias("weight_gram"),
+    )
+
+
 def _with_previous(days: DataFrame) -> DataFrame:
     """Add ``gap``: whole days since the pair's last purchase on an earlier day."""
     previous = F.lag("last_at").over(Window.partitionBy(*PAIR).orderBy("day"))
     return days.withColumn("gap", elapsed_days(previous, F.col("first_at")))
 
 
-def repurchase_gaps(history: DataFrame) -> DataFrame:
+def repurchase_gaps(days: DataFrame) -> DataFrame:
     """Training rows: gaps of 1 to 365 days with quantity and weight of the later line.
 
     Of several lines at one time the first by line key carries the gap; the
     others follow at 0 days and fall outside the range.
     """
-    first_line = F.min(F.struct("order_date", *LINE_KEY, "weight_gram"))
-    days = (
-        history.groupBy(*PAIR, F.to_date("order_date").alias("day"))
-        .agg(first_line.alias("line"), F.max("order_date").alias("last_at"))
-        .withColumn("first_at", F.col("line.order_date"))
-    )
     return (
-        _with_previous(days)
+        _with_previous(days.select(*PAIR, "day", "line", "first_at", "last_at", "weight_gram"))
         .where(F.col("gap").between(C.MIN_GAP_DAYS, C.MAX_GAP_DAYS))
         .select(
             *PAIR,
             *[F.col(f"line.{name}") for name in LINE_KEY],
-            "line.weight_gram",
+            "weight_gram",
             F.col("gap").alias("days_between"),
         )
     )
 
 
-def _purchase_days(history: DataFrame) -> DataFrame:
-    return history.groupBy(*PAIR, "weight_gram", F.to_date("order_date").alias("day")).agg(
-        F.min("order_date").alias("first_at"),
-        F.max("order_date").alias("last_at"),
-        F.count("*").alias("n_lines"),
-        F.sum("quantity").alias("quantity"),
-        F.count("quantity").alias("n_quantities"),
-    )
-
-
-def pair_state(history: DataFrame) -> DataFrame:
+def pair_state(days: DataFrame) -> DataFrame:
     """Last purchase, mean quantity and mean cycle of every user and product.
 
     The cycle takes in all gaps, also 0 days and more than a year; a pair bought
-    once has none. A product has one weight, so the pair decides the row.
+    once has none.
     """
-    gaps = _with_previous(_purchase_days(history))
     lines = F.sum("n_lines")
-    return gaps.groupBy(*PAIR, "weight_gram").agg(
-        F.max("last_at").alias("last_purchase"),
-        (F.sum("quantity") / F.nullif(F.sum("n_quantities"), F.lit(0))).alias("avg_quantity"),
-        F.when(lines > 1, F.coalesce(F.sum("gap"), F.lit(0)) / (lines - 1)).alias(
-            "avg_days_between"
-        ),
+    return (
+        _with_previous(days.drop("line"))
+        .groupBy(*PAIR)
+        .agg(
+            F.max("weight_gram").alias("weight_gram"),
+            F.max("last_at").alias("last_purchase"),
+            (F.sum("total_quantity") / F.nullif(F.sum("n_quantities"), F.lit(0))).alias(
+                "avg_quantity"
+            ),
+            F.when(lines > 1, F.coalesce(F.sum("gap"), F.lit(0)) / (lines - 1)).alias(
+                "avg_days_between"
+            ),
+        )
     )
 
 
-def repurchase_cycles(history: DataFrame) -> DataFrame:
+def repurchase_cycles(days: DataFrame) -> DataFrame:
     """Mean gap of the pairs bought more than once."""
     return (
-        pair_state(history)
+        pair_state(days)
         .where(F.col("avg_days_between").isNotNull())
         .select(*PAIR, "avg_days_between")
     )
@@ -112,7 +118,7 @@ def gap_profile(gaps: DataFrame) -> DataFrame:
     median = (
         gaps.groupBy("days_between")
         .agg(F.count("*").alias("n"))
-        .agg(F.percentile("days_between", 0.5, "n"))
+        .agg(F.percentile("days_between", 0.5, F.col("n")))
         .scalar()
     )
     return gaps.agg(

@@ -17,7 +17,7 @@ from cartlens.operators import repurchase as R
 from cartlens.operators import segments as S
 from cartlens.plans import training as TR
 from cartlens.plans import snapshots as K
-from cartlens.session import scratch_path, tune
+from cartlens.session import cut_lineage, scratch_path, tune
 from cartlens.sources.sample import AS_OF, CATALOGUE_SIZE, RECENT_SINCE, sample_shop
 
 STAND_IN_CLUSTERS = 4
@@ -39,10 +39,16 @@ class Case:
     def scores(self) -> DataFrame:
         return I.interaction_scores(self.logs)
 
+    @cached_property
+    def stored_scores(self) -> DataFrame:
+        """The scores as a written table, for queries that read them many times."""
+        return cut_lineage(self.scores, "scores")
+
     @cached_property
     def recent_scores(self) -> DataFrame:
-        """Scores of a short span, where many users have little history."""
-        return I.interaction_scores(I.behavior_logs(self.shop.behavior, RECENT_SINCE))
+        """Written scores of a short span, where many users have little history."""
+        recent = I.behavior_logs(self.shop.behavior, RECENT_SINCE)
+        return cut_lineage(I.interaction_scores(recent), "scores")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -52,9 +58,14 @@ class Case:
     def items(self) -> DataFrame:
         return B.basket_items(self.lines)
 
+    @cached_property
+    def stored_items(self) -> DataFrame:
+        """The basket rows as a written table, for queries that read them many times."""
+        return cut_lineage(self.items, "items")
+
     @cached_property
     def rules(self) -> DataFrame:
-        return B.association_rules(self.items)
+        return B.association_rules(self.stored_items)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -73,24 +84,31 @@ class Case:
         return S.segment_labels(profile, STAND_IN_CLUSTERS)
 
     @cached_property
-    def history(self) -> DataFrame:
-        return R.purchase_history(self.shop.order_items, self.shop.orders, self.shop.products)
+    def days(self) -> DataFrame:
+        shop = self.shop
+        return R.purchase_days(R.purchase_history(shop.order_items, shop.orders, shop.products))
+
+    @cached_property
+    def stored_days(self) -> DataFrame:
+        """The purchase days as a written table, for queries that read them many times."""
+        return cut_lineage(self.days, "days")
 
     @cached_property
-    def gaps(self) -> DataFrame:
-        return R.repurchase_gaps(self.history)
+    def stored_gaps(self) -> DataFrame:
+        return cut_lineage(R.repurchase_gaps(self.stored_days), "gaps")
 
     @cached_property
     def encoder(self) -> DataFrame:
-        return R.product_encoder(self.gaps)
+        return R.product_encoder(self.stored_gaps)
 
     @cached_property
     def training(self) -> DataFrame:
-        return R.training_features(self.gaps, self.encoder)
+        return R.training_features(self.stored_gaps, self.encoder)
 
     @cached_property
     def serving(self) -> DataFrame:
-        return R.serving_features(R.pair_state(self.history), self.encoder)
+        state = cut_lineage(R.pair_state(self.stored_days), "state")
+        return R.serving_features(state, self.encoder)
 
     @cached_property
     def predictions(self) -> DataFrame:
@@ -182,7 +200,7 @@ def user_routing(case):
 
 @_query
 def heldout_rms(case):
-    return I.heldout_rms(case.scores)
+    return I.heldout_rms(case.stored_scores)
 
 
 # --- baskets -----------------------------------------------------------------
@@ -205,12 +223,12 @@ def basket_profile(case):
 
 @_query
 def frequent_items(case):
-    return B.frequent_items(case.items)
+    return B.frequent_items(case.stored_items)
 
 
 @_query
 def frequent_pairs(case):
-    return B.frequent_pairs(case.items)
+    return B.frequent_pairs(case.stored_items)
 
 
 @_query
@@ -220,7 +238,7 @@ def association_rules(case):
 
 @_query
 def rules_profile(case):
-    return B.rules_profile(case.items, case.rules)
+    return B.rules_profile(case.stored_items, case.rules)
 
 
 @_query
@@ -233,7 +251,7 @@ def rules_refresh(case):
 
 @_query
 def fpgrowth_itemsets(case):
-    return B.frequent_itemsets(case.items)
+    return B.frequent_itemsets(case.stored_items)
 
 
 @_query
@@ -266,7 +284,7 @@ def item_based_recommendations(case):
 
 @_query
 def svd_factors(case):
-    return CF.tall_factors(CF.fit_factors(case.scores))
+    return CF.tall_factors(CF.fit_factors(case.stored_scores))
 
 
 @_query
@@ -276,7 +294,7 @@ def svd_recommendations(case):
 
 @_query
 def svd_cell_rmse(case):
-    return CF.cell_split_rmse(case.scores, rank=8)
+    return CF.cell_split_rmse(case.stored_scores, rank=8)
 
 
 @_query
@@ -366,22 +384,22 @@ def silhouette_sweep(case):
 
 @_query
 def repurchase_gaps(case):
-    return case.gaps
+    return R.repurchase_gaps(case.days)
 
 
 @_query
 def repurchase_gap_profile(case):
-    return R.gap_profile(case.gaps)
+    return R.gap_profile(case.stored_gaps)
 
 
 @_query
 def repurchase_pair_state(case):
-    return R.pair_state(case.history).drop("avg_days_between")
+    return R.pair_state(case.days).drop("avg_days_between")
 
 
 @_query
 def repurchase_cycles(case):
-    return R.repurchase_cycles(case.history)
+    return R.repurchase_cycles(case.days)
 
 
 @_query

@@ -73,7 +73,7 @@ def training_gates(shop: Shop, as_of: dt.date) -> DataFrame:
     n_baskets = lines.agg(F.countDistinct("order_id").alias("baskets"))
     customers = S.user_features(shop.users, shop.summary, as_of).agg(F.count("*").alias("users"))
     history = R.purchase_history(shop.order_items, shop.orders, shop.products)
-    gaps = R.repurchase_gaps(history).agg(F.count("*").alias("gaps"))
+    gaps = R.repurchase_gaps(R.purchase_days(history)).agg(F.count("*").alias("gaps"))
     side = C.MIN_MATRIX_SIDE
     return reduce(
         DataFrame.unionAll,
@@ -214,7 +214,8 @@ def train_clustering(
 def train_repurchase(shop: Shop, results: Results, as_of: dt.date, **forest) -> DataFrame:
     """Forest, its metrics and the due date of every known pair; returns the report."""
     history = R.purchase_history(shop.order_items, shop.orders, shop.products)
-    gaps = cut_lineage(R.repurchase_gaps(history))
+    days = cut_lineage(R.purchase_days(history))
+    gaps = cut_lineage(R.repurchase_gaps(days))
     n_gaps = gaps.count()
     _require(n_gaps, C.MIN_GAPS, "gaps")
     encoder = cut_lineage(R.product_encoder(gaps))
@@ -222,7 +223,7 @@ def train_repurchase(shop: Shop, results: Results, as_of: dt.date, **forest) ->
     quality = metrics.first()
     model.write().overwrite().save(results.model_path("forest"))
     results.table("product_encoder").refresh(encoder)
-    served = R.serving_features(R.pair_state(history), encoder)
+    served = R.serving_features(R.pair_state(days), encoder)
     results.table("repurchase_predictions").refresh(
         R.due_dates(model.transform(served), as_of, "prediction", quality["confidence"])
     )

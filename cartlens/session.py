@@ -5,15 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # ``forceOptimizeSkewedJoin`` lets adaptive execution split a hot join key even
 # where that costs a later shuffle: one order may hold a third of all lines.
+# ``unionOutputPartitioning`` fails with "Can't zip RDDs with unequal numbers of
+# partitions" where adaptive execution re-plans one side of a union (Spark 4.1).
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -58,12 +61,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/cartlens/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/cartlens/{name}-{uuid.uuid4().hex}"
+    """Fresh path below the shared folder, kept apart per application."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application left in the shared folder, at the end of a run."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-def cut_lineage(df):
-    """Checkpoint to the shared folder, so later steps neither recompute nor lose it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write to the shared folder and go on from the files.
+
+    Later steps neither recompute the frame nor lose it with an executor, read
+    only the columns they need, and plan joins with its true size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
