@@ -16,6 +16,7 @@ from cartlens.operators.cooccurrence import both_directions, pair_sums
 from cartlens.operators.factor_passes import wide_factors
 from cartlens.operators.interactions import user_routing, users_routed
 from cartlens.operators.ranks import dense_codes, top_per_key
+from cartlens.session import cut_lineage
 
 # Factors up to this size are fitted through the driver and scored in one block.
 DRIVER_FACTOR_BYTES = 256 << 20
@@ -52,14 +53,14 @@ def fit_factors(
     """
     n_users, n_products = matrix_shape(scores)
     rank = rank or default_rank(n_users, n_products)
-    codes = dense_codes(scores, "product_id")
+    codes = cut_lineage(dense_codes(scores, "product_id"), "codes")
     cells = (
         scores.where("score > 0")
         .join(codes, "product_id")
         .select("user_id", "code", "score")
     )
     if n_products * rank * 8 > driver_bytes:
-        return codes.join(wide_factors(cells, codes, rank), "code")
+        return cut_lineage(codes.join(wide_factors(cells, codes, rank), "code"), "factors")
     java_matrix = callMLlibFunc(
         "createCoordinateMatrix",
         cells.select(
@@ -79,7 +80,7 @@ def _factor_frame(codes: DataFrame, vectors: np.ndarray) -> DataFrame:
     columns = {"code": np.arange(len(vectors), dtype=np.int64)}
     columns |= {f"f_{i}": np.ascontiguousarray(v) for i, v in enumerate(vectors.T)}
     table = codes.sparkSession.createDataFrame(pa.table(columns))
-    return codes.join(table, "code")
+    return cut_lineage(codes.join(table, "code"), "factors")
 
 
 def tall_factors(factors: DataFrame) -> DataFrame:
@@ -254,41 +255,42 @@ def similarity_recommendations(
         .join(known.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
         .where("score > 0")
     )
-    best = _ranked(scored, top_n).drop("rank")
-    filled = best.unionByName(_zero_fill(scores, thin, known, best, top_n))
-    return _ranked(filled, top_n)
+    entry = F.struct((-F.col("score")).alias("place"), "product_id", "score")
+    listed = (
+        _ranked(scored, top_n).groupBy("user_id").agg(F.collect_list(entry).alias("listed"))
+    )
+    seen = known.groupBy("user_id").agg(F.collect_list("product_id").alias("seen"))
+    return _filled(thin.join(seen, "user_id", "left").join(listed, "user_id", "left"), scores, top_n)
 
 
-def _zero_fill(
-    scores: DataFrame, thin: DataFrame, known: DataFrame, best: DataFrame, top_n: int
-) -> DataFrame:
-    """Products at score 0 for the places a user's list leaves open.
+def _filled(users: DataFrame, scores: DataFrame, top_n: int) -> DataFrame:
+    """Lists of ``top_n`` rows from ``seen`` and ``listed``, the open places at score 0.
 
-    They are the lowest ids not seen and not listed. A thin user has seen fewer
-    than ``MIN_INTERACTIONS`` products and listed fewer than ``top_n``, so the
-    first few ids of the catalogue hold all the candidates there can be. A user
-    who has seen the whole catalogue gets none.
+    The places go to the lowest ids neither seen nor listed. A thin user has
+    seen fewer than ``MIN_INTERACTIONS`` products and has at most ``top_n`` on
+    the list, so the first few ids of the catalogue hold every candidate.
     """
     spare = 2 * top_n + C.MIN_INTERACTIONS
     lowest = (
         scores.select("product_id").distinct().orderBy("product_id").limit(spare)
         .agg(F.sort_array(F.collect_list("product_id"))).scalar()
     )
-    taken = (
-        known.select("user_id", "product_id", F.lit(0).alias("listed"))
-        .unionAll(best.select("user_id", "product_id", F.lit(1).alias("listed")))
-        .groupBy("user_id")
-        .agg(F.collect_list("product_id").alias("taken"), F.sum("listed").alias("listed"))
+    zero = F.lit(0.0)
+    no_ids = F.array().cast("array<long>")
+    no_entries = F.array().cast("array<struct<place:double,product_id:long,score:double>>")
+    taken = F.concat("seen", F.transform("listed", lambda entry: entry["product_id"]))
+    padding = F.transform(
+        F.slice(F.array_except("lowest", taken), F.lit(1), F.lit(top_n) - F.size("listed")),
+        lambda product: F.struct(
+            zero.alias("place"), product.alias("product_id"), zero.alias("score")
+        ),
     )
-    none = F.array().cast("array<long>")
-    free = F.array_except("lowest", F.coalesce("taken", none))
     return (
-        thin.join(taken, "user_id", "left")
-        .withColumn("lowest", lowest)
-        .withColumn("open", F.lit(top_n) - F.coalesce("listed", F.lit(0)).cast("int"))
-        .where("open > 0")
-        .select("user_id", F.explode(F.slice(free, F.lit(1), F.col("open"))).alias("product_id"))
-        .withColumn("score", F.lit(0.0))
+        users.withColumn("lowest", lowest)
+        .withColumn("seen", F.coalesce("seen", no_ids))
+        .withColumn("listed", F.coalesce("listed", no_entries))
+        .select("user_id", F.posexplode(F.sort_array(F.concat("listed", padding))).alias("at", "e"))
+        .select("user_id", "e.product_id", "e.score", (F.col("at") + 1).alias("rank"))
     )
 
 
@@ -328,32 +330,42 @@ def homepage_recommendations(
         raise ValueError(f"top_n must lie in {low}..{high}")
     users = requested.select("user_id").distinct()
     if factors is None:
-        return _best_sellers(users, trending)
+        return with_best_sellers(users, None, trending)
     personal = factor_recommendations(scores, factors, top_n, users).unionByName(
         similarity_recommendations(scores, users, top_n)
     )
     return with_best_sellers(users, personal, trending)
 
 
-def with_best_sellers(users: DataFrame, personal: DataFrame, trending: DataFrame) -> DataFrame:
-    useful = (
-        personal.groupBy("user_id").agg(F.max(F.abs("score")).alias("best")).where("best > 0")
-        .select("user_id")
-    )
-    kept = personal.join(useful, "user_id", "left_semi").withColumn(
-        "rec_type", F.lit("collaborative")
-    )
-    return kept.unionByName(_best_sellers(users.join(useful, "user_id", "left_anti"), trending))
+def _best_sellers(trending: DataFrame) -> Column:
+    entry = F.struct((-F.col("score")).alias("place"), "product_id", "score")
+    return trending.agg(F.sort_array(F.collect_list(entry))).scalar()
 
 
-def _best_sellers(users: DataFrame, trending: DataFrame) -> DataFrame:
-    listed = users.withColumn("list", _as_array(trending)).select(
-        "user_id", F.posexplode("list").alias("at", "entry")
-    )
-    return listed.select(
-        "user_id",
-        "entry.product_id",
-        "entry.score",
-        (F.col("at") + 1).alias("rank"),
-        F.lit("trending").alias("rec_type"),
+def with_best_sellers(
+    users: DataFrame, personal: DataFrame | None, trending: DataFrame
+) -> DataFrame:
+    """The personal list of each user where a score differs from 0, else the best sellers."""
+    entry = "array<struct<place:double,product_id:long,score:double>>"
+    if personal is None:
+        listed = users.select("user_id", F.lit(None).cast(entry).alias("own"))
+    else:
+        # Lists hold at most ``top_n`` rows per user; ``place`` carries the rank.
+        row = F.struct(F.col("rank").cast("double").alias("place"), "product_id", "score")
+        lists = (
+            personal.groupBy("user_id")
+            .agg(F.sort_array(F.collect_list(row)).alias("own"), F.max(F.abs("score")).alias("best"))
+            .where("best > 0")
+            .select("user_id", "own")
+        )
+        listed = users.select("user_id").join(lists, "user_id", "left")
+    has_own = F.col("own").isNotNull()
+    return (
+        listed.withColumn("best_sellers", _best_sellers(trending))
+        .select(
+            "user_id",
+            F.when(has_own, "collaborative").otherwise("trending").alias("rec_type"),
+            F.posexplode(F.coalesce("own", "best_sellers")).alias("at", "e"),
+        )
+        .select("user_id", "e.product_id", "e.score", (F.col("at") + 1).alias("rank"), "rec_type")
     )

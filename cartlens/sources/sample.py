@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _relabelled(df: DataFrame, column: str, labels: dict[str, str]) -> DataFrame:
+    """Add ``label`` for the values of ``column``, one branch of a union per value.
+
+    A filter on the label then removes the other branches and reaches the scan
+    as a filter on ``column``, which an expression over the column would not.
+    """
+    known = F.col(column).isin(*labels)
+    branches = [df.where(~F.coalesce(known, F.lit(False))).withColumn("label", F.lit(None).cast("string"))]
+    branches += [
+        df.where(F.col(column) == value).withColumn("label", F.lit(label))
+        for value, label in labels.items()
+    ]
+    return reduce(DataFrame.unionAll, branches)
+
+
 def sample_shop(spark: SparkSession, folder: str) -> Shop:
     """Map the tables in ``folder``; user 0 plays the anonymous visitor."""
     event = F.lower("event_type")
@@ -47,14 +63,14 @@ def sample_shop(spark: SparkSession, folder: str) -> Shop:
         F.col("value").alias("duration_sec"),
         F.col("ts").alias("created_at"),
     )
-    status = F.upper("o_orderstatus")
-    orders = _table(spark, folder, "orders").select(
+    orders = _relabelled(
+        _table(spark, folder, "orders"),
+        "o_orderstatus",
+        {"F": "delivered", "O": "pending", "P": "cancelled"},
+    ).select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("user_id"),
-        F.when(status == "F", "delivered")
-        .when(status == "O", "pending")
-        .when(status == "P", "cancelled")
-        .alias("order_status"),
+        F.col("label").alias("order_status"),
         F.col("o_totalprice").alias("order_total"),
         F.col("o_orderdate").alias("created_at"),
     )
@@ -80,7 +96,7 @@ def sample_shop(spark: SparkSession, folder: str) -> Shop:
     user_id = F.col("c_custkey")
     users = _table(spark, folder, "customer").select(
         user_id.alias("user_id"),
-        F.when(F.upper("c_mktsegment") == "MACHINERY", "staff").otherwise("customer").alias("role"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", "staff").otherwise("customer").alias("role"),
         (F.col("c_acctbal") >= 0).alias("is_active"),
         F.when(
             user_id % 50 != 0,
