@@ -33,11 +33,13 @@ def event_score(action: str = "action", seconds: str = "duration_sec") -> Column
 
 
 def clip(value: Column, low: float | None = None, high: float | None = None) -> Column:
+    """Cut to ``low..high``; a null stays null, which ``least`` alone would replace."""
+    cut = value
     if high is not None:
-        value = F.least(value, F.lit(high))
+        cut = F.least(cut, F.lit(high))
     if low is not None:
-        value = F.greatest(value, F.lit(low))
-    return value
+        cut = F.greatest(cut, F.lit(low))
+    return F.when(value.isNotNull(), cut)
 
 
 def guarded_ratio(numerator: Column, count: Column) -> Column:
