@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,9 +11,9 @@ from pyspark.sql import functions as F
 from cartlens import constants as C
 from cartlens.operators.cooccurrence import both_directions, pair_sums
 from cartlens.operators.ranks import top_per_key
+from cartlens.session import cut_lineage
 
 PAGE_IDS = 4096
-MAX_BROADCAST_ITEMS = 1_000_000
 
 
 def delivered(orders: DataFrame) -> DataFrame:
@@ -66,24 +68,35 @@ def frequent_items(items: DataFrame, min_support: float = C.MIN_SUPPORT) -> Data
     return counted.withColumn("support", support).where(F.col("support") >= min_support)
 
 
-def _frequent_only(items: DataFrame, min_support: float) -> DataFrame:
-    """Rows of frequent products.
+class MinedRules(NamedTuple):
+    """Written tables of one mining run, and the rules over them."""
+
+    frequent: DataFrame
+    pairs: DataFrame
+    rules: DataFrame
+
+
+def _frequent_only(items: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Rows of frequent products, for ``frequent`` read from a written table.
 
     The supports of all products add up to the mean number of distinct products
-    per basket, so at most ``mean / min_support`` products are frequent: within
-    the limit for any mean up to ``MAX_BROADCAST_ITEMS * min_support`` (3,000 at
-    the default). A smaller ``min_support`` leaves the join to Spark's own
-    size-checked choice.
+    per basket, so at most ``mean / min_support`` products are frequent. Spark
+    sees the size of the written table and ships it to the tasks where it is
+    small enough, or shuffles otherwise.
     """
-    frequent = frequent_items(items, min_support).select("product_id")
-    if min_support >= C.MIN_SUPPORT:
-        frequent = F.broadcast(frequent)
-    return items.select("order_id", "product_id").join(frequent, "product_id")
+    return items.select("order_id", "product_id").join(frequent.select("product_id"), "product_id")
+
 
+def frequent_pairs(
+    items: DataFrame, min_support: float = C.MIN_SUPPORT, frequent: DataFrame | None = None
+) -> DataFrame:
+    """Product pairs ``item_a < item_b`` in at least ``min_support`` of the baskets.
 
-def frequent_pairs(items: DataFrame, min_support: float = C.MIN_SUPPORT) -> DataFrame:
-    """Product pairs ``item_a < item_b`` in at least ``min_support`` of the baskets."""
-    counted = pair_sums(_frequent_only(items, min_support), "order_id", "product_id")
+    ``items`` is read several times, so it is best a written table.
+    """
+    if frequent is None:
+        frequent = cut_lineage(frequent_items(items, min_support), "frequent")
+    counted = pair_sums(_frequent_only(items, frequent), "order_id", "product_id")
     support = F.col("n_baskets") / _basket_count(items)
     return (
         counted.select("item_a", "item_b", F.col("total").cast("long").alias("n_baskets"))
@@ -92,24 +105,25 @@ def frequent_pairs(items: DataFrame, min_support: float = C.MIN_SUPPORT) -> Data
     )
 
 
-def association_rules(
+def mine_rules(
     items: DataFrame,
     min_support: float = C.MIN_SUPPORT,
     min_confidence: float = C.MIN_CONFIDENCE,
     min_lift: float = C.MIN_LIFT,
-) -> DataFrame:
+) -> MinedRules:
     """Rules from one product to one product; all three thresholds are inclusive."""
+    frequent = cut_lineage(frequent_items(items, min_support), "frequent")
+    pairs = cut_lineage(frequent_pairs(items, min_support, frequent), "pairs")
     n_baskets = _basket_count(items)
-    single = frequent_items(items, min_support).select("product_id", "n_baskets")
-    directed = both_directions(frequent_pairs(items, min_support), "n_baskets", "support")
-    left = single.select(F.col("product_id").alias("item"), F.col("n_baskets").alias("n_item"))
-    right = single.select(F.col("product_id").alias("other"), F.col("n_baskets").alias("n_other"))
+    directed = both_directions(pairs, "n_baskets", "support")
+    left = frequent.select(F.col("product_id").alias("item"), F.col("n_baskets").alias("n_item"))
+    right = frequent.select(F.col("product_id").alias("other"), F.col("n_baskets").alias("n_other"))
     confidence = F.col("n_baskets") / F.col("n_item")
     # One division keeps an exactly independent pair at exactly 1; doubles, as
     # the products of counts outgrow a long.
     observed = F.col("n_baskets").cast("double") * n_baskets
     lift = observed / (F.col("n_item").cast("double") * F.col("n_other"))
-    return (
+    rules = (
         directed.join(left, "item")
         .join(right, "other")
         .select(
@@ -121,15 +135,18 @@ def association_rules(
         )
         .where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift))
     )
+    return MinedRules(frequent, pairs, rules)
 
 
-def rules_profile(
-    items: DataFrame, rules: DataFrame, min_support: float = C.MIN_SUPPORT
-) -> DataFrame:
+def association_rules(items: DataFrame, **thresholds: float) -> DataFrame:
+    return mine_rules(items, **thresholds).rules
+
+
+def rules_profile(mined: MinedRules) -> DataFrame:
     """Number of frequent sets of one and two products, and means over the rules."""
-    singles = frequent_items(items, min_support).agg(F.count("*")).scalar()
-    pairs = frequent_pairs(items, min_support).agg(F.count("*")).scalar()
-    return rules.agg(
+    singles = mined.frequent.agg(F.count("*")).scalar()
+    pairs = mined.pairs.agg(F.count("*")).scalar()
+    return mined.rules.agg(
         F.count("*").alias("n_rules"),
         F.round(F.avg("confidence"), 4).alias("avg_confidence"),
         F.round(F.avg("lift"), 4).alias("avg_lift"),
@@ -143,7 +160,8 @@ def fpgrowth_model(items: DataFrame, min_support: float = C.MIN_SUPPORT):
     baskets become bounded. Supports then refer to the baskets that remain, so
     the threshold is restated as the same number of baskets.
     """
-    kept = _frequent_only(items, min_support).groupBy("order_id").agg(
+    frequent = cut_lineage(frequent_items(items, min_support), "frequent")
+    kept = _frequent_only(items, frequent).groupBy("order_id").agg(
         F.collect_set("product_id").alias("items")
     ).persist()
     total = items.select("order_id").distinct().count()

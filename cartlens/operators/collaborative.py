@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.mllib.common import callMLlibFunc
@@ -90,18 +91,19 @@ def tall_factors(factors: DataFrame) -> DataFrame:
     )
 
 
+def _known_cells(scores: DataFrame, factors: DataFrame) -> DataFrame:
+    return scores.where("score > 0").select("user_id", "product_id", "score").join(
+        factors, "product_id"
+    )
+
+
+def _projections(factors: DataFrame) -> list[Column]:
+    return [F.sum(F.col("score") * F.col(name)).alias(name) for name in factor_columns(factors)]
+
+
 def user_factors(scores: DataFrame, factors: DataFrame) -> DataFrame:
     """Project users on the factors: a join and one sum per component."""
-    names = factor_columns(factors)
-    return (
-        scores.where("score > 0")
-        .join(factors, "product_id")
-        .groupBy("user_id")
-        .agg(
-            *[F.sum(F.col("score") * F.col(name)).alias(name) for name in names],
-            F.collect_list("code").alias("seen"),
-        )
-    )
+    return _known_cells(scores, factors).groupBy("user_id").agg(*_projections(factors))
 
 
 def factor_recommendations(
@@ -115,29 +117,42 @@ def factor_recommendations(
 
     Products are scored in blocks of fixed size: each block of factors is small
     enough to ship to every task, which keeps only its ``top_n`` per user. Users
-    by products never exists as rows.
+    by products never exists as rows, and the list of seen products a task holds
+    for a user stays within the block.
     """
     names = factor_columns(factors)
     eligible = users_routed(scores, "factors")
     if requested is not None:
         eligible = eligible.join(requested, "user_id", "left_semi")
-    users = user_factors(scores.join(eligible, "user_id", "left_semi"), factors)
+    cells = _known_cells(scores.join(eligible, "user_id", "left_semi"), factors)
     n_products = factors.agg(F.count("*")).first()[0]
-    merged = None
+    if not n_products:
+        raise ValueError("no factors to score with")
+    seen = F.collect_list("code").alias("seen")
+    if n_products <= block:
+        users = cells.groupBy("user_id").agg(*_projections(factors), seen)
+    else:
+        cells = cut_lineage(cells, "cells")
+        projected = cut_lineage(cells.groupBy("user_id").agg(*_projections(factors)), "users")
+    parts = []
     for start in range(0, n_products, block):
-        rows = factors.where(F.col("code").between(start, start + block - 1)).orderBy("code")
-        frame = rows.select("product_id", *names).toPandas()
+        inside = F.col("code").between(start, start + block - 1)
+        if n_products > block:
+            seen_here = cells.where(inside).groupBy("user_id").agg(seen)
+            users = projected.join(seen_here, "user_id", "left")
+        frame = factors.where(inside).orderBy("code").select("product_id", *names).toPandas()
         shipped = scores.sparkSession.sparkContext.broadcast(
             (frame["product_id"].to_numpy(), frame[names].to_numpy())
         )
-        part = users.mapInPandas(
+        best = users.mapInPandas(
             _block_scorer(shipped, names, start, top_n),
             "user_id long, product_id long, score double",
         )
-        merged = part if merged is None else merged.unionAll(part)
-    if merged is None:
-        raise ValueError("no factors to score with")
-    return _ranked(merged, top_n)
+        if n_products > block:
+            best = cut_lineage(best, "block")
+            shipped.unpersist()
+        parts.append(best)
+    return _ranked(reduce(DataFrame.unionAll, parts), top_n)
 
 
 def _block_scorer(shipped, names: list[str], start: int, top_n: int, cells: int = BLOCK_CELLS):
@@ -155,11 +170,10 @@ def _block_scorer(shipped, names: list[str], start: int, top_n: int, cells: int
             for at in range(0, len(batch), step):
                 users = batch.iloc[at : at + step]
                 score = np.round(users[names].to_numpy() @ vectors.T, 4) + 0.0
-                seen = users["seen"].to_list()
+                seen = [s if s is not None else () for s in users["seen"]]
                 row = np.repeat(np.arange(len(users)), [len(s) for s in seen])
-                col = np.concatenate(seen) - start
-                here = (col >= 0) & (col < size)
-                score[row[here], col[here]] = -np.inf
+                col = np.concatenate(seen).astype(np.int64) - start
+                score[row, col] = -np.inf
 
                 cut = -np.partition(-score, keep - 1, axis=1)[:, keep - 1 : keep]
                 row, col = np.nonzero((score >= cut) & (score > -np.inf))

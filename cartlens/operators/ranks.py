@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+RANGES = 200
 
 
 def running_total(df: DataFrame, key: str, amount: str, ranges: int = RANGES) -> DataFrame:

@@ -64,8 +64,12 @@ class Case:
         return cut_lineage(self.items, "items")
 
     @cached_property
+    def mined(self) -> B.MinedRules:
+        return B.mine_rules(self.stored_items)
+
+    @property
     def rules(self) -> DataFrame:
-        return B.association_rules(self.stored_items)
+        return self.mined.rules
 
     @cached_property
     def features(self) -> DataFrame:
@@ -238,7 +242,7 @@ def association_rules(case):
 
 @_query
 def rules_profile(case):
-    return B.rules_profile(case.stored_items, case.rules)
+    return B.rules_profile(case.mined)
 
 
 @_query

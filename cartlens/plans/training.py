@@ -148,10 +148,11 @@ def train_association(shop: Shop, results: Results) -> DataFrame:
     items = cut_lineage(B.basket_items(lines))
     profile = B.basket_profile(items)
     _require(profile.first()["total_orders"], C.MIN_BASKETS, "baskets")
-    rules = results.table("association_rules").refresh(B.association_rules(items))
+    mined = B.mine_rules(items)
+    rules = results.table("association_rules").refresh(mined.rules)
     return (
         _tall(profile, "association")
-        .unionAll(_tall(B.rules_profile(items, rules), "association"))
+        .unionAll(_tall(B.rules_profile(mined._replace(rules=rules)), "association"))
         .unionAll(
             _rows(
                 results.spark,
