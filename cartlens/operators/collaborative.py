@@ -19,8 +19,8 @@ from cartlens.operators.interactions import user_routing, users_routed
 from cartlens.operators.ranks import dense_codes, top_per_key
 from cartlens.session import cut_lineage
 
-# Factors up to this size are fitted through the driver and scored in one block.
-DRIVER_FACTOR_BYTES = 256 << 20
+# The Gram matrix of this many products takes 34 MB on the driver.
+GRAM_PRODUCTS = 2048
 BLOCK_PRODUCTS = 65_536
 BLOCK_CELLS = 1 << 22
 
@@ -44,13 +44,14 @@ def factor_columns(factors: DataFrame) -> list[str]:
 def fit_factors(
     scores: DataFrame,
     rank: int | None = None,
-    driver_bytes: int = DRIVER_FACTOR_BYTES,
+    gram_products: int = GRAM_PRODUCTS,
 ) -> DataFrame:
     """Right singular vectors of the uncentred score matrix.
 
     One row per product: ``product_id, code, f_0 … f_{rank-1}``. ``code`` numbers
-    the products by ascending id. A catalogue whose factors would outgrow
-    ``driver_bytes`` is factored by distributed passes instead.
+    the products by ascending id. Up to ``gram_products`` products the inner
+    products of all columns fit the driver and one pass over the data gives the
+    exact vectors; a wider catalogue is factored by distributed passes.
     """
     n_users, n_products = matrix_shape(scores)
     rank = rank or default_rank(n_users, n_products)
@@ -60,28 +61,27 @@ def fit_factors(
         .join(codes, "product_id")
         .select("user_id", "code", "score")
     )
-    if n_products * rank * 8 > driver_bytes:
-        return cut_lineage(codes.join(wide_factors(cells, codes, rank), "code"), "factors")
-    java_matrix = callMLlibFunc(
-        "createCoordinateMatrix",
-        cells.select(
-            F.col("user_id").alias("i"), F.col("code").alias("j"), F.col("score").alias("value")
-        ),
-        0,
-        n_products,
-    )
-    fitted = CoordinateMatrix(java_matrix).toIndexedRowMatrix().computeSVD(rank, False)
-    vectors = fitted.V.toArray()
-    return _factor_frame(codes, vectors)
+    if n_products > gram_products:
+        factors = wide_factors(cells, codes, rank)
+    else:
+        factors = _narrow_factors(cells, n_products, rank)
+    return cut_lineage(codes.join(factors, "code"), "factors")
 
 
-def _factor_frame(codes: DataFrame, vectors: np.ndarray) -> DataFrame:
+def _narrow_factors(cells: DataFrame, n_products: int, rank: int) -> DataFrame:
+    """Leading eigenvectors of the Gram matrix Spark sums up over the users."""
     import pyarrow as pa
 
-    columns = {"code": np.arange(len(vectors), dtype=np.int64)}
-    columns |= {f"f_{i}": np.ascontiguousarray(v) for i, v in enumerate(vectors.T)}
-    table = codes.sparkSession.createDataFrame(pa.table(columns))
-    return cut_lineage(codes.join(table, "code"), "factors")
+    entries = cells.select(
+        F.col("user_id").alias("i"), F.col("code").alias("j"), F.col("score").alias("value")
+    )
+    java_matrix = callMLlibFunc("createCoordinateMatrix", entries, 0, n_products)
+    rows = CoordinateMatrix(java_matrix).toIndexedRowMatrix()
+    _, vectors = np.linalg.eigh(rows.computeGramianMatrix().toArray())
+    leading = vectors[:, ::-1][:, :rank]
+    columns = {"code": np.arange(n_products, dtype=np.int64)}
+    columns |= {f"f_{i}": np.ascontiguousarray(v) for i, v in enumerate(leading.T)}
+    return cells.sparkSession.createDataFrame(pa.table(columns))
 
 
 def tall_factors(factors: DataFrame) -> DataFrame:

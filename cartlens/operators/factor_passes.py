@@ -1,7 +1,7 @@
 """Leading right singular vectors by repeated distributed passes.
 
-Used where the factors of the catalogue are too large for the driver. Both
-sides stay DataFrames; a pass is two joins with one sum per component. Only
+Used for catalogues too wide for a Gram matrix on the driver. Users and products
+both stay DataFrames; a pass is two joins with one sum per component. Only
 matrices of ``width x width`` numbers, whatever the data, reach the driver.
 """
 

@@ -72,7 +72,7 @@ def test_wide_catalogue_passes_find_the_same_space(spark):
     cells = [(u, 3 * p, base[u, p] + noise[u, p]) for u in range(60) for p in range(40)]
     frame = frame_of(spark, cells)
     x = matrix(frame).to_numpy()
-    v, got = projector(CF.fit_factors(frame, rank=4, driver_bytes=0))
+    v, got = projector(CF.fit_factors(frame, rank=4, gram_products=0))
     assert np.allclose(v.T @ v, np.eye(4), atol=1e-8)
     assert np.allclose(got, rank_projector(x, 4), atol=1e-5)
 
