@@ -18,7 +18,9 @@ def behavior_logs(behavior: DataFrame, min_date: dt.datetime | None = None) -> D
     """
     logs = behavior.where(F.col("user_id").isNotNull() & F.col("product_id").isNotNull())
     if min_date is not None:
-        logs = logs.where(F.col("created_at") >= F.lit(min_date).cast("timestamp_ntz"))
+        # As text: a datetime literal would pass through the session's time zone.
+        since = F.lit(min_date.isoformat(sep=" ")).cast("timestamp_ntz")
+        logs = logs.where(F.col("created_at") >= since)
     return logs.select(
         "user_id",
         "product_id",
