@@ -183,8 +183,12 @@ def frequent_itemsets(items: DataFrame, min_support: float = C.MIN_SUPPORT) -> D
     )
 
 
-def associated_products(rules: DataFrame, top_n: int = C.PRODUCT_TOP_N) -> DataFrame:
-    """Strongest consequents of every product, by lift, then confidence, then id."""
+def associated_products(
+    rules: DataFrame, top_n: int = C.PRODUCT_TOP_N, product_id: int | None = None
+) -> DataFrame:
+    """Strongest consequents of every product, or of one, by lift, confidence, then id."""
+    if product_id is not None:
+        rules = rules.where(F.col("antecedent_id") == product_id)
     order = [F.desc("lift"), F.desc("confidence"), F.asc("consequent_id")]
     return top_per_key(rules, ["antecedent_id"], order, top_n).select(
         F.col("antecedent_id").alias("product_id"),
@@ -195,13 +199,15 @@ def associated_products(rules: DataFrame, top_n: int = C.PRODUCT_TOP_N) -> DataF
     )
 
 
-def product_recommendations(rules: DataFrame, top_n: int = C.PRODUCT_TOP_N) -> DataFrame:
+def product_recommendations(
+    rules: DataFrame, top_n: int = C.PRODUCT_TOP_N, product_id: int | None = None
+) -> DataFrame:
     """Bought-together list with the confidence as its score."""
     low, high = C.PRODUCT_RANGE
     if not low <= top_n <= high:
         raise ValueError(f"top_n must lie in {low}..{high}")
     return (
-        associated_products(rules, top_n)
+        associated_products(rules, top_n, product_id)
         .withColumn("score", F.col("confidence"))
         .withColumn("rec_type", F.lit("association"))
     )

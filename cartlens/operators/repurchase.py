@@ -262,17 +262,28 @@ def due_dates(predicted: DataFrame, as_of: dt.date, days: str, confidence: float
 
 
 def upcoming_repurchases(
-    predictions: DataFrame, products: DataFrame, as_of: dt.date, days_ahead: int = C.DAYS_AHEAD
+    predictions: DataFrame,
+    products: DataFrame,
+    as_of: dt.date,
+    days_ahead: int = C.DAYS_AHEAD,
+    user_id: int | None = None,
 ) -> DataFrame:
-    """Everything due within ``days_ahead`` days, with product names, no row limit."""
+    """Everything due within ``days_ahead`` days, with product names, no row limit.
+
+    ``position`` numbers each user's list by date. ``user_id`` asks for one user.
+    """
     low, high = C.DAYS_AHEAD_RANGE
     if not low <= days_ahead <= high:
         raise ValueError(f"days_ahead must lie in {low}..{high}")
+    due = predictions.where(due_within("predicted_date", as_of, days_ahead))
+    if user_id is not None:
+        due = due.where(F.col("user_id") == user_id)
     named = products.select("product_id", F.col("name").alias("product_name"))
+    by_date = Window.partitionBy("user_id").orderBy("predicted_date", "product_id")
     return (
-        predictions.where(due_within("predicted_date", as_of, days_ahead))
-        .join(named, "product_id")
+        due.join(named, "product_id")
         .select(*PAIR, "product_name", "predicted_date", "confidence")
+        .withColumn("position", F.row_number().over(by_date))
     )
 
 

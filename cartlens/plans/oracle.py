@@ -369,6 +369,16 @@ select count(*) as n_rules, round(avg(confidence), 4) as avg_confidence,
        (select count(*) from frequent) + (select count(*) from pairs) as n_itemsets
 from rules""",
     ),
+    "fpgrowth_itemsets": "with recursive "
+    + LINES.strip()
+    + """,
+subsets as (
+  select order_id, product_id as last, cast(product_id as varchar) as items from items
+  union all
+  select s.order_id, i.product_id, s.items || ',' || i.product_id
+  from subsets s join items i on i.order_id = s.order_id and i.product_id > s.last)
+select items, count(*) as n_baskets, round(count(*) / (select n from total), 6) as support
+from subsets group by items having count(*) / (select n from total) >= 0.003""",
     "associated_products": _with(ASSOCIATED, "select * from associated"),
     "product_recommendations": _with(
         ASSOCIATED, "select *, confidence as score, 'association' as rec_type from associated"
@@ -497,7 +507,8 @@ from serving""",
     "upcoming_repurchases": _with(
         PREDICTIONS,
         f"""
-select {PREDICTION_COLUMNS}, product_name
+select {PREDICTION_COLUMNS}, product_name,
+       row_number() over (partition by user_id order by predicted_date, product_id) as position
 from (select p.*, n.name as product_name from predictions p
       join products n on n.product_id = p.product_id
       where p.predicted_date between date '2001-08-02' and date '2001-08-02' + 7)""",

@@ -136,3 +136,5 @@ def test_association_ties_go_to_the_lower_id(spark):
     rules = spark.createDataFrame(rows, schemas.ASSOCIATION_RULES)
     got = B.associated_products(rules, 2).orderBy("rank").collect()
     assert [r.recommended_id for r in got] == [7, 4]
+    assert B.product_recommendations(rules, 2, product_id=5).count() == 0
+    assert B.product_recommendations(rules, 2, product_id=1).count() == 2

@@ -8,7 +8,6 @@ from tests.oracle import connect, difference
 FOLDER = "/root/testdata/sf0.01"
 SQL = entry.oracle_sql()
 PLANNED_WITHOUT_SQL = {
-    "fpgrowth_itemsets",
     "homepage_recommendations",
     "repurchase_model_metrics",
     "repurchase_predictions",

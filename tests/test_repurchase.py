@@ -174,6 +174,7 @@ def test_windows_include_both_ends(spark):
     rows = predictions(spark, [(1, 0, False), (2, 3, False), (3, 4, False), (4, 1, True), (5, -1, False)])
     soon = R.upcoming_repurchases(rows, products, AS_OF, 3).collect()
     assert sorted(r.user_id for r in soon) == [1, 2, 4]
+    assert [r.user_id for r in R.upcoming_repurchases(rows, products, AS_OF, 3, user_id=2).collect()] == [2]
     reminded = R.due_reminders(rows, products, AS_OF, 3)
     assert sorted(r.user_id for r in reminded.collect()) == [1, 2]
     marked = R.mark_notified(rows, reminded).collect()
