@@ -226,13 +226,23 @@ def cell_split_rmse(scores: DataFrame, rank: int | None = None) -> DataFrame:
 # --- item similarity ---------------------------------------------------------
 
 
-def item_similarity(scores: DataFrame) -> DataFrame:
-    """Cosine of the score columns of two products, ``item_a < item_b``, where above 0."""
+def item_similarity(scores: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """Cosine of the score columns of two products, ``item_a < item_b``, where above 0.
+
+    ``items``, distinct product ids, asks only for pairs with one of them.
+    """
     positive = scores.where("score > 0").select("user_id", "product_id", "score")
     norms = positive.groupBy("product_id").agg(
         F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm")
     )
-    dots = pair_sums(positive, "user_id", "product_id", "score")
+    wanted = None
+    if items is not None:
+        wanted = "wanted"
+        marked = items.select("product_id", F.lit(True).alias("marked"))
+        positive = positive.join(marked, "product_id", "left").withColumn(
+            wanted, F.coalesce("marked", F.lit(False))
+        )
+    dots = pair_sums(positive, "user_id", "product_id", "score", wanted)
     side_a = norms.select(F.col("product_id").alias("item_a"), F.col("norm").alias("norm_a"))
     side_b = norms.select(F.col("product_id").alias("item_b"), F.col("norm").alias("norm_b"))
     return (
@@ -257,7 +267,8 @@ def similarity_recommendations(
     practised = user_routing(scores).where(F.col("n_interacted") >= C.MIN_INTERACTIONS)
     thin = requested.select("user_id").join(practised, "user_id", "left_anti")
     known = scores.where("score > 0").join(thin, "user_id", "left_semi")
-    near = both_directions(item_similarity(scores), "similarity")
+    seen_items = known.select("product_id").distinct()
+    near = both_directions(item_similarity(scores, seen_items), "similarity")
     weighted = F.sum(F.col("similarity") * F.col("score"))
     scored = (
         known.select("user_id", F.col("product_id").alias("item"), "score")

@@ -16,24 +16,36 @@ from pyspark.sql import functions as F
 
 TILE_ITEMS = 4096
 CHUNK_ROWS = 1 << 18
+CELL = ["item", "weight", "wanted"]
 PAIR_SCHEMA = "item_a long, item_b long, total double"
 
 
 def pair_sums(
-    rows: DataFrame, group: str, item: str, weight: str | None = None, tile: int = TILE_ITEMS
+    rows: DataFrame,
+    group: str,
+    item: str,
+    weight: str | None = None,
+    wanted: str | None = None,
+    tile: int = TILE_ITEMS,
 ) -> DataFrame:
     """``item_a < item_b, total``: the sum over groups of weight_a * weight_b.
 
     ``rows`` holds each (group, item) once; without ``weight`` every row weighs 1.
+    ``wanted``, a boolean column that depends on the item, restricts the result to
+    pairs with a wanted item on at least one side.
     """
+    of_group = Window.partitionBy("grp")
     sized = rows.select(
         F.col(group).alias("grp"),
         F.col(item).alias("item"),
         (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"),
-    ).withColumn("n_items", F.count("*").over(Window.partitionBy("grp")))
+        (F.col(wanted) if wanted else F.lit(True)).alias("wanted"),
+    ).withColumn("n_items", F.count("*").over(of_group))
+    if wanted:
+        sized = sized.withColumn("any_wanted", F.max("wanted").over(of_group)).where("any_wanted")
 
     narrow = sized.where(F.col("n_items") <= tile).select(
-        "grp", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("part"), "item", "weight"
+        "grp", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("part"), *CELL
     )
     wide = (
         sized.where(F.col("n_items") > tile)
@@ -45,15 +57,13 @@ def pair_sums(
             F.least("part", "other").alias("lo"),
             F.greatest("part", "other").alias("hi"),
             "part",
-            "item",
-            "weight",
+            *CELL,
         )
         .repartition("grp", "lo", "hi")
     )
+    summer = _chunk_summer(CHUNK_ROWS, wanted is None)
     partial = [
-        part.sortWithinPartitions("grp", "lo", "hi", "item").mapInArrow(
-            _chunk_summer(CHUNK_ROWS), PAIR_SCHEMA
-        )
+        part.sortWithinPartitions("grp", "lo", "hi", "item").mapInArrow(summer, PAIR_SCHEMA)
         for part in (narrow, wide)
     ]
     return (
@@ -73,68 +83,72 @@ def both_directions(pairs: DataFrame, *values: str) -> DataFrame:
     return pairs.select(F.inline(sides), *values)
 
 
-def _chunk_summer(chunk_rows: int):
+def _chunk_summer(chunk_rows: int, all_wanted: bool):
     """Task function: sum the pairs of sorted, clustered rows chunk by chunk."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        names = ["grp", "lo", "hi", "part", "item", "weight"]
-        dense_cells = 1 << 22
+        names = ["grp", "lo", "hi", "part", "item", "weight", "wanted"]
+        slice_pairs = 1 << 21
 
         def totals(keys, values, cells):
-            if cells <= dense_cells:
-                sums = np.bincount(keys, weights=values, minlength=cells)
-                hit = np.bincount(keys, minlength=cells) > 0
-                found = np.flatnonzero(hit)
-                return found, sums[found]
+            if cells <= slice_pairs:
+                found = np.flatnonzero(np.bincount(keys, minlength=cells))
+                return found, np.bincount(keys, weights=values, minlength=cells)[found]
             found, where = np.unique(keys, return_inverse=True)
             return found, np.bincount(where, weights=values)
 
-        def pairs_of(cols):
-            """Yield summed pairs; partners of a row sit at rising offsets."""
-            items, code = np.unique(cols["item"], return_inverse=True)
-            width = len(items)
-            change = np.ones(len(code) + 1, dtype=bool)
+        def partner_ranges(cols):
+            """Rows with the first and last+1 row of their partners within the group."""
+            change = np.ones(len(cols["item"]) + 1, dtype=bool)
             change[1:-1] = False
             for name in ("grp", "lo", "hi"):
                 change[1:-1] |= cols[name][1:] != cols[name][:-1]
             starts = np.flatnonzero(change)
-            end = np.repeat(starts[1:], np.diff(starts))
-            one_part = cols["lo"] == cols["hi"]
-            keys, values, held = [], [], 0
+            sizes = np.diff(starts)
+            row, end = np.arange(sizes.sum()), np.repeat(starts[1:], sizes)
+            if all_wanted:
+                return row, row + 1, end
+            row = np.flatnonzero(cols["wanted"])
+            return row, np.repeat(starts[:-1], sizes)[row], end[row]
 
-            def flush():
-                found, sums = totals(np.concatenate(keys), np.concatenate(values), width * width)
-                return pa.RecordBatch.from_arrays(
+        def pairs_of(cols):
+            """Yield summed pairs, a bounded number of pairs at a time."""
+            items, code = np.unique(cols["item"], return_inverse=True)
+            width = len(items)
+            row, first, end = partner_ranges(cols)
+            size = end - first
+            piece = np.cumsum(size) // slice_pairs
+            for cut in np.split(np.arange(len(row)), np.flatnonzero(np.diff(piece)) + 1):
+                n = size[cut]
+                if not n.sum():
+                    continue
+                a = np.repeat(row[cut], n)
+                b = np.arange(n.sum()) + np.repeat(first[cut] - (np.cumsum(n) - n), n)
+                kept = (cols["lo"][a] == cols["hi"][a]) | (cols["part"][a] != cols["part"][b])
+                if not all_wanted:
+                    # A pair of two wanted items shows up from both sides.
+                    kept &= (a != b) & ~(cols["wanted"][b] & (b < a))
+                a, b = a[kept], b[kept]
+                if not len(a):
+                    continue
+                # Rows are in item order within a group, so the lower row is item_a.
+                keys = code[np.minimum(a, b)] * width + code[np.maximum(a, b)]
+                found, sums = totals(keys, cols["weight"][a] * cols["weight"][b], width * width)
+                yield pa.RecordBatch.from_arrays(
                     [pa.array(items[found // width]), pa.array(items[found % width]), pa.array(sums)],
                     names=["item_a", "item_b", "total"],
                 )
 
-            left, step = np.arange(len(code)), 1
-            while True:
-                left = left[left + step < end[left]]
-                if not len(left):
-                    break
-                a, b = left, left + step
-                kept = one_part[a] | (cols["part"][a] != cols["part"][b])
-                a, b = a[kept], b[kept]
-                if len(a):
-                    keys.append(code[a] * width + code[b])
-                    values.append(cols["weight"][a] * cols["weight"][b])
-                    held += len(a)
-                if held >= dense_cells:
-                    yield flush()
-                    keys, values, held = [], [], 0
-                step += 1
-            if held:
-                yield flush()
+        def columns(table):
+            return {n: table[n].to_numpy() for n in names}
 
         def settled(tables):
             """Split the rows before the last, maybe unfinished, group from the rest."""
             table = pa.concat_tables(tables).combine_chunks()
-            cols = {n: table[n].to_numpy() for n in names}
+            cols = columns(table)
             last = np.ones(table.num_rows, dtype=bool)
             for name in ("grp", "lo", "hi"):
                 last &= cols[name] == cols[name][-1]
@@ -153,7 +167,6 @@ def _chunk_summer(chunk_rows: int):
                 if len(done["item"]):
                     yield from pairs_of(done)
         if pending:
-            table = pa.concat_tables(pending).combine_chunks()
-            yield from pairs_of({n: table[n].to_numpy() for n in names})
+            yield from pairs_of(columns(pa.concat_tables(pending).combine_chunks()))
 
     return run

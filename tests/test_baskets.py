@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cartlens import schemas
 from cartlens.operators import baskets as B
@@ -34,8 +35,14 @@ def test_pair_sums_match_brute_force(spark, tile):
     }
     rows = [(g, i, w) for g, cells in groups.items() for i, w in cells.items()]
     frame = spark.createDataFrame(rows, "g long, i long, w double").repartition(5)
-    got = {(r.item_a, r.item_b): r.total for r in pair_sums(frame, "g", "i", "w", tile).collect()}
-    assert got == pytest.approx(dict(brute_pairs(groups)))
+    got = {(r.item_a, r.item_b): r.total for r in pair_sums(frame, "g", "i", "w", tile=tile).collect()}
+    total = dict(brute_pairs(groups))
+    assert got == pytest.approx(total)
+    marked = frame.withColumn("wanted", F.col("i").isin(3, 7, 59))
+    some = pair_sums(marked, "g", "i", "w", "wanted", tile).collect()
+    assert {(r.item_a, r.item_b): r.total for r in some} == pytest.approx(
+        {pair: v for pair, v in total.items() if {3, 7, 59} & set(pair)}
+    )
 
 
 def test_pair_sums_across_small_chunks(spark, monkeypatch):
