@@ -20,8 +20,8 @@ def calendar_days(as_of: dt.date, since: str) -> Column:
 
 
 def elapsed_days(start: Column, end: Column) -> Column:
-    """Whole 24-hour days between two times."""
-    return F.timestamp_diff("DAY", start, end)
+    """Whole 24-hour days between two times, whatever clock changes the session zone has."""
+    return F.extract(F.lit("DAY"), end - start).cast("long")
 
 
 def whole_cycle(predicted_days: Column) -> Column:

@@ -104,10 +104,11 @@ def _tall(row: DataFrame, model: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, model: str, **values) -> DataFrame:
-    rows = [
-        (model, name, None if isinstance(v, str) or v is None else float(v), v if isinstance(v, str) else None)
-        for name, v in values.items()
-    ]
+    rows = []
+    for name, value in values.items():
+        text = isinstance(value, str)
+        number = None if text or value is None else float(value)
+        rows.append((model, name, number, value if text else None))
     return spark.createDataFrame(rows, REPORT_SCHEMA)
 
 

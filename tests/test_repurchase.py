@@ -47,6 +47,16 @@ def test_gap_counts_whole_days_not_midnights(spark):
     assert gaps_of(spark, [(1, 1, late), (1, 1, D(2024, 1, 3, 22))]) == [(1, 1, 1, 1.0)]
 
 
+def test_clock_changes_of_the_session_zone_do_not_matter(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        night = [(1, 1, D(2024, 3, 9, 2, 45)), (1, 1, D(2024, 3, 10, 2, 30)), (1, 1, D(2024, 3, 11, 2, 30))]
+        assert [g[2] for g in gaps_of(spark, night)] == [1]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_training_keeps_1_to_365_and_serving_uses_all(spark):
     start = D(2020, 1, 1)
     purchases = []

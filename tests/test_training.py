@@ -1,4 +1,3 @@
-import datetime as dt
 from dataclasses import replace
 
 import pytest
