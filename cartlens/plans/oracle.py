@@ -316,7 +316,7 @@ from scores""",
         "select action, count(*) as n_events from logs where action is not null group by action",
     ),
     "user_routing": _with(
-        RECENT,
+        SCORES,
         """
 select user_id, n_interacted,
        case when n_interacted >= (select count(distinct product_id) from scores) then 'best_sellers'
@@ -388,7 +388,7 @@ from subsets group by items having count(*) / (select n from total) >= 0.003""",
         "select product_id, round(score, 6) as score, 'trending' as rec_type from trending",
     ),
     "item_similarity": _with(
-        RECENT + "," + SIMILARITY,
+        SCORES + "," + SIMILARITY,
         "select item_a, item_b, round(similarity, 6) as similarity from similarity",
     ),
     "item_based_recommendations": _with(

@@ -46,7 +46,7 @@ class Case:
 
     @cached_property
     def recent_scores(self) -> DataFrame:
-        """Written scores of a short span, where many users have little history."""
+        """Written scores since a date, the only way users have little history here."""
         recent = I.behavior_logs(self.shop.behavior, RECENT_SINCE)
         return cut_lineage(I.interaction_scores(recent), "scores")
 
@@ -199,7 +199,7 @@ def action_distribution(case):
 
 @_query
 def user_routing(case):
-    return I.user_routing(case.recent_scores)
+    return I.user_routing(case.stored_scores)
 
 
 @_query
@@ -278,7 +278,7 @@ def trending_products(case):
 
 @_query
 def item_similarity(case):
-    return CF.item_similarity(case.recent_scores)
+    return CF.item_similarity(case.stored_scores)
 
 
 @_query
@@ -293,7 +293,7 @@ def svd_factors(case):
 
 @_query
 def svd_recommendations(case):
-    return CF.factor_recommendations(case.recent_scores, CF.fit_factors(case.recent_scores))
+    return CF.factor_recommendations(case.stored_scores, CF.fit_factors(case.stored_scores))
 
 
 @_query
@@ -303,7 +303,7 @@ def svd_cell_rmse(case):
 
 @_query
 def homepage_recommendations(case):
-    scores = case.recent_scores
+    scores = case.stored_scores
     return CF.homepage_recommendations(
         case.shop.users, scores, case.trending, CF.fit_factors(scores)
     )
