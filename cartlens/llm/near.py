@@ -19,8 +19,8 @@ from cartlens.session import cut_lineage
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-# Buckets up to this size are compared in full; larger ones are first cut by a second band.
-SMALL_BUCKET = 24
+# Counters that tell common shingles from rare ones; their number does not depend on the data.
+SKETCH = 1 << 20
 _TEXT_BYTES = 1 << 20
 _ONE = np.uint64(1)
 
@@ -201,28 +201,29 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
-    """Pairs ``a < b`` of bags whose weighted Jaccard similarity is at least ``least``.
-
-    Shingles are made again for one document of each bag that is in a pair, and for no others.
-    """
-    one, two = (bag.select(F.col("bag").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    # Bags of too different sizes cannot be similar.
-    near = (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
-    pairs = cut_lineage(pairs.join(one, "a").join(two, "b").where(near).select("a", "b"), "pairs")
-    used = pairs.select(F.col("a").alias("bag")).unionAll(pairs.select("b")).distinct()
+def _shingles_of(used: DataFrame, docs: DataFrame, bag: DataFrame) -> DataFrame:
+    """``bag, shingles, counts`` of the bags in ``used``, made again from one document of each and no others."""
     wanted = bag.join(used, "bag").select(F.col("doc_id").alias("rep"), F.col("body").alias("rep_body"))
     rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"]) & (docs["body"] == wanted["rep_body"]), "left_semi")
-    bags_of = cut_lineage(
+    return cut_lineage(
         rows.select("text").mapInArrow(_bag_rows, "bag long, shingles array<long>, counts array<int>"), "shingles"
     )
-    one, two = (bags_of.select(F.col("bag").alias(x), F.col("shingles").alias(f"h{i}"), F.col("counts").alias(f"c{i}"))
+
+
+def _similar(pairs: DataFrame, shingles_of: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a < b`` of bags whose weighted Jaccard similarity is at least ``least``."""
+    one, two = (shingles_of.select(F.col("bag").alias(x), F.col("shingles").alias(f"h{i}"), F.col("counts").alias(f"c{i}"))
                 for i, x in ((1, "a"), (2, "b")))
     full = pairs.join(one, "a").join(two, "b").select("a", "b", "h1", "c1", "h2", "c2")
     found = full.mapInArrow(lambda x: _verify(x, least), "a long, b long, similar boolean")
     return cut_lineage(found.where("similar").select("a", "b"), "similar")
 
 
+def _alike_in_size(least: float):
+    """Bags of too different sizes cannot be similar."""
+    return (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
+
+
 def near_groups(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> NearGroups:
     """Classes of ``doc_id, text`` linked by a weighted Jaccard similarity of word shingles of ``least`` or more.
 
@@ -231,8 +232,9 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
        the largest of a bucket are its pivots, found by minima that combine before the shuffle. Every member is
        compared with both exactly: rows in proportion to the members, however large the bucket.
     3. Components of the links found. A bucket whose members already belong together needs nothing more. In the
-       others all pairs from different components are compared; buckets with many members are cut by every
-       second band first, so that only pairs that agree in two bands meet.
+       others bags of different components are compared if they share one of the shingles that are rarest by
+       sketch counters and make up more than the part in which similar bags can differ. No similar pair is
+       lost by that, and passages that many texts share make no pairs.
 
     Texts below five words are one shingle of all their words; null and blank texts have none and are
     classes of their own. A class's id is its smallest doc_id, null only if all are null. Rows that repeat a
@@ -254,17 +256,22 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     shared = cut_lineage(member.join(buckets, "key"), "buckets")
     pairs = shared.select("bag", F.explode(F.array("p", "q")).alias("pivot")).where(F.col("bag") != F.col("pivot"))
     pairs = cut_lineage(pairs.select(*_ordered("bag", "pivot")).distinct(), "pairs")
-    links = _similar(pairs, docs, bag, least)
+    one, two = (bag.select(F.col("bag").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = cut_lineage(pairs.join(one, "a").join(two, "b").where(_alike_in_size(least)).select("a", "b"), "pairs")
+    used = pairs.select(F.col("a").alias("bag")).unionAll(pairs.select("b")).distinct()
+    links = _similar(pairs, _shingles_of(used, docs, bag), least)
 
     named = cut_lineage(components(links), "classes")
     placed = shared.select("key", "bag").join(named, shared["bag"] == named["node"], "left")
     placed = placed.select("key", "bag", F.coalesce("component", "bag").alias("class"))
-    state = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("size"))
-    rest = cut_lineage(placed.join(state.where("low != high").select("key", "size"), "key"), "open")
-    more = _cross_class(rest, bag).join(pairs, ["a", "b"], "left_anti")
+    state = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    rest = placed.join(state.where("low != high").select("key"), "key").select("bag", "class").distinct()
+    rest = cut_lineage(rest, "open")
+    rest_shingles = _shingles_of(rest.select("bag"), docs, bag)
+    more = _cross_class(rest, rest_shingles, least).join(pairs, ["a", "b"], "left_anti")
     more = cut_lineage(more, "pairs")
     if not more.isEmpty():
-        found = _similar(more, docs, bag, least)
+        found = _similar(more, rest_shingles, least)
         links = links.unionAll(found)
         # Bags hang on their class already, so few rounds are left.
         hung = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -283,18 +290,56 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     return NearGroups(members, links)
 
 
-def _cross_class(rest: DataFrame, bag: DataFrame) -> DataFrame:
-    """Pairs of bags that share a bucket but no class yet."""
-    small = rest.where(F.col("size") <= SMALL_BUCKET).select("key", F.lit(0).cast("long").alias("key2"), "bag", "class")
-    # A second band within a large bucket: pairs have to agree there as well.
-    large = rest.where(F.col("size") > SMALL_BUCKET).join(bag.select("bag", "keys"), "bag")
-    large = large.select("key", F.explode("keys").alias("key2"), "bag", "class").where("key != key2")
-    cells = small.unionByName(large)
-    spread = cells.groupBy("key", "key2").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    cells = cells.join(spread.where("low != high").select("key", "key2"), ["key", "key2"])
-    other = cells.select("key", "key2", F.col("bag").alias("other"), F.col("class").alias("class2"))
-    met = cells.join(other, ["key", "key2"]).where(F.col("class") < F.col("class2"))
-    return met.select(*_ordered("bag", "other")).distinct()
+def _sketch(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many bags of the partition hold a shingle of each counter."""
+    total = np.zeros(SKETCH, np.int64)
+    for batch in batches(found):
+        slot = batch.column("shingles").flatten().to_numpy(zero_copy_only=False) & (SKETCH - 1)
+        total += np.bincount(slot, minlength=SKETCH)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+
+def _rarest(found: Iterator[pa.RecordBatch], common: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """Of each bag the rarest shingles that hold more of its weight than similar bags can differ by."""
+    for batch in batches(found):
+        bags_, tokens, sizes = [], [], []
+        rows = zip(batch.column("bag").to_pylist(), batch.column("shingles"), batch.column("counts"))
+        for bag, shingles_, counts in rows:
+            h, c = np.asarray(shingles_.values), np.asarray(counts.values)
+            order = np.lexsort((h, common[h & (SKETCH - 1)]))
+            n = int(c.sum())
+            need = n - int(np.ceil(least * n - 1e-9)) + 1
+            last = int(np.searchsorted(np.cumsum(c[order]), need)) + 1
+            tokens.append(h[order[:last]])
+            bags_.append(np.full(len(tokens[-1]), bag))
+            sizes.append(np.full(len(tokens[-1]), n))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(x).astype(np.int64)) for x in (bags_, tokens, sizes)], ["bag", "token", "n"]
+        )
+
+
+def _cross_class(rest: DataFrame, shingles_of: DataFrame, least: float) -> DataFrame:
+    """Pairs of bags of different classes that may be similar, by the rarest shingles of each.
+
+    With any fixed order of all shingles, two bags of similarity ``least`` share a shingle among the first
+    ``n - ceil(least * n) + 1`` units of weight of each. The order goes by sketch counters, so what many bags
+    share comes last.
+    """
+    held = shingles_of.select("shingles").mapInArrow(_sketch, "slot long, n long")
+    held = held.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SKETCH rows at most
+    common = np.zeros(SKETCH, np.int64)
+    common[held["slot"].to_numpy(np.int64)] = held["n"]
+    sent = rest.sparkSession.sparkContext.broadcast(common)
+    rare = shingles_of.mapInArrow(lambda x: _rarest(x, sent.value, least), "bag long, token long, n long").join(rest, "bag")
+    rare = cut_lineage(rare, "rare")
+    spread = rare.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    rare = cut_lineage(rare.join(spread.where("low != high").select("token"), "token"), "rare")
+    one, two = (
+        rare.select("token", F.col("bag").alias(x), F.col("class").alias(f"class_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab"
+    )
+    met = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b")))
+    return met.where(_alike_in_size(least)).select("a", "b").distinct()
 
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:
