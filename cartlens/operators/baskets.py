@@ -13,11 +13,10 @@ from cartlens.operators.cooccurrence import both_directions, pair_sums
 from cartlens.operators.ranks import top_per_key
 from cartlens.session import cut_lineage
 
-PAGE_IDS = 4096
-
 
 def delivered(orders: DataFrame) -> DataFrame:
-    return orders.where(F.col("order_status") == "delivered")
+    """Delivered orders, whatever the case of the status."""
+    return orders.where(F.lower("order_status") == "delivered")
 
 
 def order_items_delivered(order_items: DataFrame, orders: DataFrame) -> DataFrame:
@@ -32,14 +31,9 @@ def basket_items(lines: DataFrame) -> DataFrame:
     return lines.groupBy("order_id", "product_id").agg(F.count("*").alias("n_lines"))
 
 
-def baskets(items: DataFrame, page_ids: int = PAGE_IDS) -> DataFrame:
-    """Distinct products of each order as an ascending list.
-
-    The list is paged by product id range, so that an order over the whole
-    catalogue becomes many rows of at most ``page_ids`` products each.
-    """
-    page = F.floor(F.col("product_id") / page_ids)
-    return items.groupBy("order_id", page.alias("page")).agg(
+def baskets(items: DataFrame) -> DataFrame:
+    """Distinct products of each order as one ascending list; no other operator reads the lists."""
+    return items.groupBy("order_id").agg(
         F.sort_array(F.collect_set("product_id")).alias("items"),
         F.sum("n_lines").alias("n_lines"),
     )

@@ -332,12 +332,6 @@ def trending_products(lines: DataFrame, top_n: int = C.HOMEPAGE_TOP_N) -> DataFr
     )
 
 
-def _as_array(trending: DataFrame) -> Column:
-    entry = F.struct((-F.col("score")).alias("order"), "product_id", "score")
-    ranked = trending.agg(F.sort_array(F.collect_list(entry)).alias("list"))
-    return ranked.scalar()
-
-
 def homepage_recommendations(
     requested: DataFrame,
     scores: DataFrame,

@@ -17,7 +17,8 @@ from cartlens import constants as C
 from cartlens.session import cut_lineage
 
 SPARE_COLUMNS = 10
-PASSES = 7
+PASSES = 60
+TOLERANCE = 1e-10
 
 
 def wide_factors(cells: DataFrame, codes: DataFrame, rank: int, passes: int = PASSES) -> DataFrame:
@@ -26,14 +27,24 @@ def wide_factors(cells: DataFrame, codes: DataFrame, rank: int, passes: int = PA
     names = [f"f_{i}" for i in range(rank + SPARE_COLUMNS)]
     basis = codes.select("code", *[_noise(i).alias(name) for i, name in enumerate(names)])
     basis = _orthonormal(cut_lineage(basis), names)
+    strengths = np.zeros(0)
     for _ in range(passes):
-        image = _multiply(cells, basis, "code", "user_id", names)
-        basis = _orthonormal(cut_lineage(_multiply(cells, image, "user_id", "code", names)), names)
         names = basis.columns[1:]
+        image = cut_lineage(_multiply(cells, basis, "code", "user_id", names))
+        before, strengths = strengths, np.sort(np.linalg.eigvalsh(_gram(image, names)))[::-1][:rank]
+        if len(before) == len(strengths) and np.all(np.abs(strengths - before) <= TOLERANCE * strengths.max(initial=0.0)):
+            break
+        # Both sides are made orthonormal: a step then loses digits by the ratio of the strengths, not its square.
+        image = _orthonormal(image, names)
+        names = image.columns[1:]
+        basis = _orthonormal(cut_lineage(_multiply(cells, image, "user_id", "code", names)), names)
+    names = basis.columns[1:]
     image = cut_lineage(_multiply(cells, basis, "code", "user_id", names))
     values, vectors = np.linalg.eigh(_gram(image, names))
     leading = vectors[:, np.argsort(values)[::-1][:rank]]
-    return _rotate(basis, names, leading)
+    turned = cut_lineage(_rotate(basis, names, leading))
+    # Products without a positive score stay, with zeros, so codes have no gaps.
+    return codes.select("code").join(turned, "code", "left").fillna(0.0)
 
 
 def _noise(column: int):
@@ -69,9 +80,19 @@ def _gram(side: DataFrame, names: list[str]) -> np.ndarray:
 
 
 def _orthonormal(side: DataFrame, names: list[str]) -> DataFrame:
-    values, vectors = np.linalg.eigh(_gram(side, names))
-    solid = values > values.max() * 1e-12
-    return _rotate(side, names, vectors[:, solid] / np.sqrt(values[solid]))
+    # Columns of one length first, so that weak directions are not taken for rounding; a second
+    # round removes what the first leaves of nearly parallel columns.
+    for _ in range(2):
+        gram = _gram(side, names)
+        length = np.sqrt(np.diag(gram))
+        used = np.flatnonzero(length > 0)
+        values, vectors = np.linalg.eigh(gram[np.ix_(used, used)] / np.outer(length[used], length[used]))
+        solid = values > 1e-14
+        turn = np.zeros((len(names), int(solid.sum())))
+        turn[used] = vectors[:, solid] / np.sqrt(values[solid]) / length[used][:, None]
+        side = cut_lineage(_rotate(side, names, turn))
+        names = side.columns[1:]
+    return side
 
 
 def _rotate(side: DataFrame, names: list[str], turn: np.ndarray) -> DataFrame:

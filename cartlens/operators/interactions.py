@@ -24,7 +24,7 @@ def behavior_logs(behavior: DataFrame, min_date: dt.datetime | None = None) -> D
     return logs.select(
         "user_id",
         "product_id",
-        "action",
+        F.lower("action").alias("action"),
         F.coalesce("duration_sec", F.lit(0.0)).alias("duration_sec"),
         "created_at",
     )

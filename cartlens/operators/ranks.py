@@ -8,6 +8,8 @@ centrally. The result is exact: the quantiles decide the balance, not the ranks.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,24 +19,24 @@ RANGES = 200
 def running_total(df: DataFrame, key: str, amount: str, ranges: int = RANGES) -> DataFrame:
     """Add ``running``: the sum of ``amount`` over all rows up to ``key`` (unique values)."""
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(key, shares, 10_000)).scalar()
+    kind = df.schema[key].dataType
+    found = df.agg(F.percentile_approx(key, shares, 10_000)).first()[0] or []
+    cuts = F.array(*map(F.lit, found)).cast(f"array<{kind.simpleString()}>")
     ranged = df.withColumn("_cuts", cuts).withColumn(
         "_range", F.size(F.filter("_cuts", lambda cut: cut < F.col(key)))
     ).drop("_cuts")
 
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_range").agg(F.sum(amount).alias("_total"))
-    offsets = totals.select(
-        "_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
-    )
+    # At most ``ranges`` numbers: what lies before each range.
+    totals = {r["_range"]: r["_total"] for r in ranged.groupBy("_range").agg(F.sum(amount).alias("_total")).collect()}
+    ahead = list(accumulate((totals.get(i) or 0 for i in range(len(found) + 1)), initial=0))
+    offset = F.element_at(F.array(*map(F.lit, ahead)), F.col("_range") + 1)
     within = Window.partitionBy("_range").orderBy(key).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
         ranged.withColumn("_within", F.sum(amount).over(within))
-        .join(F.broadcast(offsets), "_range")  # at most ``ranges`` rows
-        .withColumn("running", F.col("_offset") + F.col("_within"))
-        .drop("_range", "_within", "_offset")
+        .withColumn("running", offset + F.col("_within"))
+        .drop("_range", "_within")
     )
 
 

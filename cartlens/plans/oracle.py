@@ -340,10 +340,10 @@ select round(avg(rms), 4) as rmse, count(*) as folds_used from folds""",
     "baskets": _with(
         LINES,
         """
-select order_id, product_id // 4096 as page,
+select order_id,
        string_agg(cast(product_id as varchar), ',' order by product_id) as items,
        cast(sum(n_lines) as bigint) as n_lines
-from items group by 1, 2""",
+from items group by 1""",
     ),
     "basket_profile": _with(
         LINES,

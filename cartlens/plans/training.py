@@ -288,8 +288,10 @@ def serve_homepage(
     shop: Shop, results: Results, requested: DataFrame, top_n: int = C.HOMEPAGE_TOP_N
 ) -> DataFrame:
     """Lists for the requested users, also stored; best sellers while no model is saved."""
-    factors = results.read_or_none("factors")
     scores = results.read_or_none("interaction_scores")
+    # Both tables or none: a stopped run may have left only one of them.
+    factors = None if scores is None else results.read_or_none("factors")
+    scores = None if factors is None else scores
     sold = delivered_lines(shop)
     lists = cut_lineage(
         CF.homepage_recommendations(

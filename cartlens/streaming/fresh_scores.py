@@ -24,19 +24,20 @@ def absorb_new_logs(
     """Add all log files not seen before to the stored sums, then stop."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        # One snapshot per batch: a batch replayed after a failure finds its own
-        # snapshot in place and adds nothing twice.
+        # The snapshot names the batch it ends with: a batch replayed after a failure
+        # finds itself there and adds nothing twice, a new checkpoint is another source.
         versions = sums.versions()
-        if versions and versions[-1] > batch_id:
+        last = sums.read().select("source", "batch").first() if versions else None
+        if last and last["source"] == checkpoint and last["batch"] >= batch_id:
             return
         added = behavior_logs(batch).groupBy(*PAIR).agg(
             F.sum(event_score()).alias("raw_score"), F.count("*").alias("n_events")
         )
         if versions:
-            added = sums.read().unionByName(added).groupBy(*PAIR).agg(
+            added = sums.read().drop("source", "batch").unionByName(added).groupBy(*PAIR).agg(
                 F.sum("raw_score").alias("raw_score"), F.sum("n_events").alias("n_events")
             )
-        sums.refresh(added)
+        sums.refresh(added.withColumns({"source": F.lit(checkpoint), "batch": F.lit(batch_id).cast("long")}))
 
     stream = spark.readStream.schema(schemas.BEHAVIOR).parquet(log_folder)
     query = (

@@ -175,3 +175,18 @@ def test_hidden_cells_are_predicted_better_than_by_zero(scores):
     row = CF.cell_split_rmse(scores, rank=3).first()
     zero = scores.where("score > 0").agg(F.sqrt(F.avg(F.col("score") ** 2))).first()[0]
     assert row.hidden_cells > 0 and row.rmse < zero
+
+
+def test_wide_passes_keep_zero_products_and_weak_directions(spark):
+    rng = np.random.default_rng(8)
+    strong = np.outer(rng.random(40) + 1, rng.random(12) + 1) * 1e4
+    values = strong + rng.random((40, 12))
+    rows = [(u, p, float(values[u, p]), 1) for u in range(40) for p in range(12)]
+    rows += [(0, 12, 0.0, 1), (1, 13, 0.0, 1)]
+    scores = spark.createDataFrame(rows, "user_id long, product_id long, score double, n_events long")
+    factors = CF.fit_factors(scores, rank=6, gram_products=0)
+    v, wide = projector(factors)
+    assert v.shape == (14, 6) and np.allclose(v[12:], 0)
+    _, _, exact = np.linalg.svd(np.pad(values, ((0, 0), (0, 2))))
+    assert np.allclose(abs(v[:, 0] @ exact[0]), 1, atol=1e-6)
+    assert np.allclose(v.T @ v, np.eye(6), atol=1e-6)

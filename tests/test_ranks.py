@@ -39,3 +39,9 @@ def test_top_per_key(spark):
     frame = spark.createDataFrame([(1, 5), (1, 9), (1, 7), (2, 1)], "k int, v int")
     got = top_per_key(frame, ["k"], [F.desc("v")], 2).collect()
     assert sorted((r.k, r.v, r.rank) for r in got) == [(1, 7, 2), (1, 9, 1), (2, 1, 1)]
+
+
+def test_codes_of_a_wide_frame_in_memory(spark):
+    rows = [(u, (u * 7) % 30, 1.0, 2) for u in range(200)]
+    frame = spark.createDataFrame(rows, "user_id long, product_id long, score double, n_events long").repartition(4)
+    assert {r.product_id: r.code for r in dense_codes(frame, "product_id").collect()} == {i: i for i in range(30)}
