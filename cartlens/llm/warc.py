@@ -33,35 +33,29 @@ _READ_BYTES = 1 << 20
 # --- which record is what ------------------------------------------------------
 
 
-def page_records(pages: DataFrame, least_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """``page_id, url, payload, digest, record_type, refers_to, refers_url`` of every page.
+def _key():
+    """Place of a page in the archive: its id, or a hash where it has none."""
+    return F.coalesce(F.col("page_id").cast("long"), F.xxhash64("url", whole("html"))).alias("key")
+
+
+def revisits(pages: DataFrame, least_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """``key, page_id, same, refers_to, refers_url`` of the pages that revisit another.
 
     Of equal payloads of at least ``least_bytes`` bytes the smallest page_id is a response and the others revisit
-    it. Copies combine before the shuffle. Null html is an empty payload. Pages without an id never stand for
-    others unless all are without; rows that repeat the response's id are responses as well.
+    it. Only digests are shuffled, and copies combine before that. Null html is an empty payload. Pages without
+    an id never stand for others unless all are without; rows that repeat the response's id are responses too.
     """
-    rows = pages.select("page_id", "url", whole("html").alias("payload"))
-    facts = rows.select(
-        "page_id", "url", F.sha2("payload", 256).alias("same"), F.octet_length("payload").cast("long").alias("bytes")
-    )
-    large = F.col("bytes") >= least_bytes
-    first = facts.where(large).groupBy("same", "bytes").agg(
+    facts = pages.select(
+        _key(), "page_id", "url", F.sha2(whole("html"), 256).alias("same"), F.octet_length(whole("html")).alias("bytes")
+    ).where(F.col("bytes") >= least_bytes)
+    first = facts.groupBy("same").agg(
         F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("first"), F.count("*").alias("n")
     )
     first = first.where("n > 1").select(
-        F.col("same").alias("__same"), F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")
-    )
-    rows = rows.withColumns({"__key": F.sha2("payload", 256), "__bytes": F.octet_length("payload")})
-    met = rows.join(first, (F.col("__key") == F.col("__same")) & (F.col("__bytes") >= least_bytes), "left")
-    revisit = F.col("__same").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return met.select(
-        "page_id",
-        "url",
-        "payload",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first_id")).alias("refers_to"),
-        F.when(revisit, F.col("first_url")).alias("refers_url"),
+        "same", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")
     )
+    met = facts.join(first, "same").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return met.select("key", "page_id", "same", "refers_to", "refers_url").distinct()
 
 
 # --- one record -------------------------------------------------------------------
@@ -213,17 +207,23 @@ def _write(found: Iterator[pd.DataFrame], folder: str, file_bytes: int, date: st
     attempt = f"{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}" if context else uuid.uuid4().hex
     info = packed(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, date)}>\r\n"
                   f"WARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n".encode())
-    roll, done = None, []
+    roll, known, done = None, None, []
     for pdf in found:
         for row in pdf.itertuples(index=False):
-            if roll is None or roll.shard != row.shard:
+            if row.payload is not None and (roll is None or roll.shard != row.shard):
                 if roll:
                     roll.close()
                     done += roll.done
                 roll = _Roll(store, row.shard, file_bytes, attempt, info)
+            if row.payload is None:  # what the next rows with this key and payload revisit
+                known = row
+                continue
             number = lambda x: None if pd.isna(x) else int(x)
-            data = packed(record(number(row.page_id), row.url, row.payload.encode(), row.record_type,
-                                 number(row.refers_to), row.refers_url, date))
+            again = known is not None and (known.key, known.same) == (row.key, row.same)
+            data = packed(record(
+                number(row.page_id), row.url, row.payload.encode(), "revisit" if again else "response",
+                number(known.refers_to) if again else None, known.refers_url if again else None, date,
+            ))
             roll.add(data)
     if roll:
         roll.close()
@@ -241,13 +241,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = MIN_REVISIT_BYT
     names it, which is written last. ``folder`` is one all executors share. No rows give an empty manifest.
     """
     spark = pages.sparkSession
-    known = page_records(pages, least_bytes)
-    key = F.coalesce(F.col("page_id").cast("long"), F.xxhash64("url", "payload"))
-    known = known.withColumn("key", key)
-    sizes = pages.select(
-        F.coalesce(F.col("page_id").cast("long"), F.xxhash64("url", whole("html"))).alias("key"),
-        (F.octet_length(whole("html")) + 600).cast("long").alias("bytes"),
-    )
+    sizes = pages.select(_key(), (F.octet_length(whole("html")) + 600).cast("long").alias("bytes"))
     sizes = cut_lineage(sizes, "page-sizes")
     bounds = shard_bounds(sizes, shard_bytes)
     parts = max(1, len(bounds))
@@ -258,8 +252,13 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = MIN_REVISIT_BYT
     def shard(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(sent.value, key.to_numpy(), side="right"))
 
-    rows = known.withColumn("shard", shard("key")).repartition(parts, "shard")
-    rows = rows.sortWithinPartitions("shard", "key", "page_id", "url", "payload").drop("key")
+    # Payloads and what is known about them go to a shard's task together, in one shuffle; of one key and
+    # payload the knowledge (without a payload) comes first.
+    body = whole("html")
+    rows = pages.select(_key(), "page_id", "url", F.sha2(body, 256).alias("same"), body.alias("payload"))
+    rows = rows.unionByName(revisits(pages, least_bytes), allowMissingColumns=True)
+    rows = rows.withColumn("shard", shard("key")).repartition(parts, "shard")
+    rows = rows.sortWithinPartitions("shard", "key", "page_id", "same", F.col("payload").isNotNull(), "url")
     out = rows.mapInPandas(
         lambda found: _write(found, folder, file_bytes, date),
         "file string, shard int, records long, bytes long, sha256 string",
