@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,8 +20,8 @@ from cartlens.session import cut_lineage
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 5
-# Counters that tell common shingles from rare ones; their number does not depend on the data.
-SKETCH = 1 << 20
+# A tile of a bucket whose members are compared within one task.
+TILE_SHINGLES = 1 << 19
 _TEXT_BYTES = 1 << 20
 _ONE = np.uint64(1)
 
@@ -224,17 +225,18 @@ def _alike_in_size(least: float):
     return (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
 
 
-def near_groups(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> NearGroups:
+def near_groups(
+    docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, tile_shingles: int = TILE_SHINGLES
+) -> NearGroups:
     """Classes of ``doc_id, text`` linked by a weighted Jaccard similarity of word shingles of ``least`` or more.
 
     1. Each text becomes a bag (multiset) of five-word shingles and a BagMinHash signature; equal bags are one.
-    2. Bags that agree in a band of the signature share a bucket. Bag numbers are random, so the smallest and
-       the largest of a bucket are its pivots, found by minima that combine before the shuffle. Every member is
-       compared with both exactly: rows in proportion to the members, however large the bucket.
-    3. Components of the links found. A bucket whose members already belong together needs nothing more. In the
-       others bags of different components are compared if they share one of the shingles that are rarest by
-       sketch counters and make up more than the part in which similar bags can differ. No similar pair is
-       lost by that, and passages that many texts share make no pairs.
+    2. Bags that agree in a band of the signature share a bucket. Its pivots are the member that meets most other
+       bags in all its buckets (the original of many copies, say) and the smallest, which is random. Every member
+       is compared with both exactly: rows in proportion to the members, however large the bucket.
+    3. Components of the links found. A bucket whose members already belong together needs nothing more. The
+       members of the others go to tasks as whole tiles, where all bags of different classes are compared
+       exactly. Only links that join two classes leave a task, so no class is missed and no pairs are shuffled.
 
     Texts below five words are one shingle of all their words; null and blank texts have none and are
     classes of their own. A class's id is its smallest doc_id, null only if all are null. Rows that repeat a
@@ -252,9 +254,13 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     )
     bag = cut_lineage(bag.select("bag", "rep.doc_id", "rep.body", "n", "keys"), "bags")
     member = bag.select("bag", F.explode("keys").alias("key"))
-    buckets = member.groupBy("key").agg(F.min("bag").alias("p"), F.max("bag").alias("q")).where("p != q")
+    buckets = member.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared = cut_lineage(member.join(buckets, "key"), "buckets")
-    pairs = shared.select("bag", F.explode(F.array("p", "q")).alias("pivot")).where(F.col("bag") != F.col("pivot"))
+    central = shared.join(shared.groupBy("bag").agg(F.sum("m").alias("met")), "bag")
+    pivots = central.groupBy("key").agg(F.max(F.struct("met", "bag")).alias("p"), F.min("bag").alias("q"))
+    shared = shared.select("key", "bag")
+    pairs = shared.join(pivots.select("key", "p.bag", "q").withColumnRenamed("bag", "p"), "key")
+    pairs = pairs.select("bag", F.explode(F.array("p", "q")).alias("pivot")).where(F.col("bag") != F.col("pivot"))
     pairs = cut_lineage(pairs.select(*_ordered("bag", "pivot")).distinct(), "pairs")
     one, two = (bag.select(F.col("bag").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     pairs = cut_lineage(pairs.join(one, "a").join(two, "b").where(_alike_in_size(least)).select("a", "b"), "pairs")
@@ -262,20 +268,15 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     links = _similar(pairs, _shingles_of(used, docs, bag), least)
 
     named = cut_lineage(components(links), "classes")
-    placed = shared.select("key", "bag").join(named, shared["bag"] == named["node"], "left")
-    placed = placed.select("key", "bag", F.coalesce("component", "bag").alias("class"))
-    state = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    rest = placed.join(state.where("low != high").select("key"), "key").select("bag", "class").distinct()
-    rest = cut_lineage(rest, "open")
-    rest_shingles = _shingles_of(rest.select("bag"), docs, bag)
-    more = _cross_class(rest, rest_shingles, least).join(pairs, ["a", "b"], "left_anti")
-    more = cut_lineage(more, "pairs")
+    placed = shared.join(named, shared["bag"] == named["node"], "left")
+    placed = cut_lineage(placed.select("key", "bag", F.coalesce("component", "bag").alias("class")), "placed")
+    spread = cut_lineage(_tiled(placed, bag, tile_shingles), "open")
+    more = _across_classes(spread, _shingles_of(spread.select("bag").distinct(), docs, bag), least)
     if not more.isEmpty():
-        found = _similar(more, rest_shingles, least)
-        links = links.unionAll(found)
+        links = links.unionAll(more)
         # Bags hang on their class already, so few rounds are left.
         hung = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        named = cut_lineage(components(hung.unionAll(found)), "classes")
+        named = cut_lineage(components(hung.unionAll(more)), "classes")
     found = signed.select("doc_id", "bag", "n").join(named, signed["bag"] == named["node"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "bag"))
     found = cut_lineage(found.select("doc_id", "bag", own.alias("class")), "named")
@@ -290,56 +291,102 @@ def near_groups(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS,
     return NearGroups(members, links)
 
 
-def _sketch(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many bags of the partition hold a shingle of each counter."""
-    total = np.zeros(SKETCH, np.int64)
+def _runs_of(found: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Rows that stand next to each other with equal ``names``, as one table each, also across batches."""
+    held, last = [], None
     for batch in batches(found):
-        slot = batch.column("shingles").flatten().to_numpy(zero_copy_only=False) & (SKETCH - 1)
-        total += np.bincount(slot, minlength=SKETCH)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+        keys = np.stack([batch.column(x).to_numpy() for x in names])
+        cuts = np.flatnonzero(np.any(keys[:, 1:] != keys[:, :-1], axis=0)) + 1
+        for low, high in zip(np.append(0, cuts), np.append(cuts, batch.num_rows)):
+            if held and tuple(keys[:, low]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = tuple(keys[:, low])
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _rarest(found: Iterator[pa.RecordBatch], common: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    """Of each bag the rarest shingles that hold more of its weight than similar bags can differ by."""
-    for batch in batches(found):
-        bags_, tokens, sizes = [], [], []
-        rows = zip(batch.column("bag").to_pylist(), batch.column("shingles"), batch.column("counts"))
-        for bag, shingles_, counts in rows:
-            h, c = np.asarray(shingles_.values), np.asarray(counts.values)
-            order = np.lexsort((h, common[h & (SKETCH - 1)]))
-            n = int(c.sum())
-            need = n - int(np.ceil(least * n - 1e-9)) + 1
-            last = int(np.searchsorted(np.cumsum(c[order]), need)) + 1
-            tokens.append(h[order[:last]])
-            bags_.append(np.full(len(tokens[-1]), bag))
-            sizes.append(np.full(len(tokens[-1]), n))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(x).astype(np.int64)) for x in (bags_, tokens, sizes)], ["bag", "token", "n"]
-        )
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Items of all lists one after another, and each list's length."""
+    return column.combine_chunks().flatten().to_numpy(), pa.compute.list_value_length(column).to_numpy()
 
 
-def _cross_class(rest: DataFrame, shingles_of: DataFrame, least: float) -> DataFrame:
-    """Pairs of bags of different classes that may be similar, by the rarest shingles of each.
+def _joining(group: pa.Table, least: float) -> list[tuple[int, int]]:
+    """Links between bags of one bucket's tiles that join classes; one for each two classes that it joins.
 
-    With any fixed order of all shingles, two bags of similarity ``least`` share a shingle among the first
-    ``n - ceil(least * n) + 1`` units of weight of each. The order goes by sketch counters, so what many bags
-    share comes last.
+    Each shingle lists the bags that hold it, so one pass over a bag's shingles sums what it shares with every
+    bag behind it. The largest class stands last: its members need not be compared among themselves.
     """
-    held = shingles_of.select("shingles").mapInArrow(_sketch, "slot long, n long")
-    held = held.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SKETCH rows at most
-    common = np.zeros(SKETCH, np.int64)
-    common[held["slot"].to_numpy(np.int64)] = held["n"]
-    sent = rest.sparkSession.sparkContext.broadcast(common)
-    rare = shingles_of.mapInArrow(lambda x: _rarest(x, sent.value, least), "bag long, token long, n long").join(rest, "bag")
-    rare = cut_lineage(rare, "rare")
-    spread = rare.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    rare = cut_lineage(rare.join(spread.where("low != high").select("token"), "token"), "rare")
-    one, two = (
-        rare.select("token", F.col("bag").alias(x), F.col("class").alias(f"class_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab"
-    )
-    met = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b")))
-    return met.where(_alike_in_size(least)).select("a", "b").distinct()
+    label = np.unique(group["class"].to_numpy(), return_inverse=True)[1]
+    order = np.lexsort((label, np.bincount(label)[label]))
+    group, label = group.take(pa.array(order)), label[order]
+    bag, tile = group["bag"].to_numpy(), group["tile"].to_numpy()
+    across = group["i"][0] != group["j"][0]
+    h, size = _flat(group["shingles"])
+    c, _ = _flat(group["counts"])
+    owner = np.repeat(np.arange(len(bag)), size)
+    n = np.bincount(owner, c, len(bag))
+    by = np.lexsort((owner, h))
+    h, c, owner = h[by], c[by], owner[by]
+    end = np.searchsorted(h, h, side="right")
+    shared_by = end - np.arange(len(h)) - 1
+    entries = np.argsort(owner, kind="stable")
+    bounds = np.searchsorted(owner[entries], np.arange(len(bag) + 1))
+    links = []
+    for a in range(len(bag) - 1):
+        if (label[a:] == label[a]).all():
+            continue
+        at = entries[bounds[a] : bounds[a + 1]]
+        times = shared_by[at]
+        total = int(times.sum())
+        if not total:
+            continue
+        others = np.arange(total) + np.repeat(at + 1 - (np.cumsum(times) - times), times)
+        both = np.bincount(owner[others], np.minimum(c[others], np.repeat(c[at], times)), len(bag))
+        near = (both >= least * (n[a] + n - both) - 1e-9) & (both > 0) & (label != label[a])
+        if across:
+            near &= tile != tile[a]
+        names, first = np.unique(label[near], return_index=True)
+        links += [(int(bag[a]), int(bag[b])) for b in np.flatnonzero(near)[first]]
+        label[np.isin(label, names)] = label[a]
+    return links
+
+
+def _join_classes(found: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for group in _runs_of(found, ["key", "i", "j"]):
+        links = np.array(_joining(group, least), np.int64).reshape(-1, 2)
+        if len(links):
+            links.sort(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+
+def _tiled(placed: DataFrame, bag: DataFrame, tile_shingles: int) -> DataFrame:
+    """``key, i, j, tile, bag, class``: members of the buckets that hold several classes, once for each pair of tiles.
+
+    Of buckets with the same members one is enough. Tiles hold about ``tile_shingles`` shingles, so most
+    buckets are a single tile.
+    """
+    alike = ("m", "members", "low", "high")
+    state = placed.join(bag.select("bag", "n"), "bag").groupBy("key").agg(
+        F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("m"),
+        F.bit_xor(F.xxhash64("bag")).alias("members"),
+        F.ceil(F.sum("n") / tile_shingles).cast("int").alias("tiles"),
+    )
+    mixed = state.where("low != high").groupBy(*alike).agg(F.min("key").alias("key"), F.any_value("tiles").alias("tiles"))
+    tile = F.pmod(F.xxhash64("key", "bag"), F.col("tiles")).cast("int")
+    open_ = placed.join(mixed.select("key", "tiles"), "key").withColumn("tile", tile)
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    spread = open_.select("key", "bag", "class", "tile", other.alias("other"))
+    return spread.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "bag", "class")
+
+
+def _across_classes(spread: DataFrame, shingles_of: DataFrame, least: float) -> DataFrame:
+    """Links ``a, b`` between classes that share a bucket, found by whole tiles within tasks: no pair leaves a task
+    unless it joins two classes."""
+    full = spread.join(shingles_of, "bag").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    full = full.select("key", "i", "j", "tile", "bag", "class", "shingles", "counts")
+    return cut_lineage(full.mapInArrow(lambda x: _join_classes(x, least), "a long, b long"), "joining")
 
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:

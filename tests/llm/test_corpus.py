@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -228,6 +229,30 @@ def test_near(spark, docs, nothing):
     assert near.near_groups(nothing).members.count() == 0
 
 
+def test_near_joins_classes_of_one_bucket_across_tiles(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    copies = []
+    for i in range(70):
+        text = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4, 5])):
+            text[at] = f"x{i}-{at}"
+        copies.append((i, " ".join(text)))
+    bags = {i: collections.Counter(tuple(t.split()[k : k + 5]) for k in range(116)) for i, t in copies}
+    links = []
+    for a, b in itertools.combinations(bags, 2):
+        shared = sum((bags[a] & bags[b]).values())
+        if shared >= 0.8 * (232 - shared):
+            links.append((a, b))
+    low = _classes(bags, links)
+    assert len(set(low.values())) > 3
+    frame = spark.createDataFrame(copies, "doc_id long, text string")
+    for tile_shingles in (1 << 19, 1500):
+        got = near.near_groups(frame, tile_shingles=tile_shingles)
+        assert {r.doc_id: r.group_id for r in got.members.collect()} == low
+        assert got.links.count() < len(links)
+
+
 def test_signatures_estimate_weighted_jaccard():
     h = np.arange(1, 301, dtype=np.uint64)
     a, b = np.ones(300, np.int64), np.ones(300, np.int64)
