@@ -283,7 +283,8 @@ def near_groups(
     sizes = found.where("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("group_id"), F.count("*").alias("group_size")
     )
-    known = found.where("class is not null").join(sizes, "class")
+    # Sizes are written first, so that the join may split the rows of a large class among tasks.
+    known = found.where("class is not null").join(cut_lineage(sizes, "sizes"), "class")
     blank = found.where("class is null").withColumns({"group_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")})
     members = known.unionByName(blank).select(
         "doc_id", "bag", "group_id", "group_size", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept")
