@@ -21,7 +21,8 @@ from cartlens.llm.words import spans_hash
 
 _CACHED_PIECES = 1 << 20
 _IDS_AT_ONCE = 1 << 14
-_CHARS_AT_ONCE = 1 << 21
+# Arrays over these characters take about 100 bytes each while they are split and looked up.
+_CHARS_AT_ONCE = 1 << 19
 
 # The endings that the vocabulary's pattern splits off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
