@@ -312,6 +312,13 @@ def notifications(due: DataFrame) -> DataFrame:
     )
 
 
+def unsent(found: DataFrame, sent: DataFrame) -> DataFrame:
+    """Notifications that ``sent`` does not hold yet; the message names the due date."""
+    held = sent.select(*[F.col(c).alias(f"_{c}") for c in found.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in found.columns]
+    return found.join(held, same, "left_anti")
+
+
 def mark_notified(predictions: DataFrame, sent: DataFrame) -> DataFrame:
     """Predictions with ``notified`` set for the pairs in ``sent``."""
     keys = sent.select(*PAIR).distinct().withColumn("_sent", F.lit(True))

@@ -273,14 +273,23 @@ def run_all(
 def send_reminders(
     shop: Shop, results: Results, as_of: dt.date, days_ahead: int = C.REMINDER_DAYS_AHEAD
 ) -> int:
-    """Append the reminders due, then mark their predictions; returns how many."""
-    predictions = results.table("repurchase_predictions")
-    current = predictions.read()
+    """Append the reminders due, then mark their predictions; returns how many were appended.
+
+    Reminders carry the number of the predictions' snapshot. A run stopped in between leaves reminders
+    without marks; the next one finds them under the same number, sends none twice and marks them.
+    """
+    predictions, log = results.table("repurchase_predictions"), results.table("notifications")
+    version, current = predictions.versions()[-1], predictions.read()
     due = cut_lineage(R.due_reminders(current, shop.products, as_of, days_ahead))
-    sent = due.count()
+    if due.isEmpty():
+        return 0
+    reminders = R.notifications(due).withColumn("predictions_version", F.lit(version).cast("long"))
+    if log.exists():
+        reminders = cut_lineage(R.unsent(reminders, log.read()))
+    sent = reminders.count()
     if sent:
-        results.table("notifications").append(R.notifications(due))
-        predictions.refresh(R.mark_notified(current, due))
+        log.append(reminders)
+    predictions.refresh(R.mark_notified(current, due))
     return sent
 
 

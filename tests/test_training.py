@@ -106,6 +106,28 @@ def test_reminders_are_sent_once_until_the_next_training(shop, trained):
     assert results.table("notifications").read().count() == 2 * first
 
 
+def test_a_run_stopped_before_the_marks_sends_nothing_twice(shop, trained, monkeypatch):
+    results, _ = trained
+    predictions = results.table("repurchase_predictions")
+    predictions.refresh(predictions.read().withColumn("notified", F.lit(False)))
+    log = results.table("notifications")
+    before = log.read().count() if log.exists() else 0
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as stopped:
+        stopped.setattr(TR.R, "mark_notified", stop)
+        with pytest.raises(RuntimeError):
+            TR.send_reminders(shop, results, AS_OF)
+    sent = log.read().count()
+    assert sent > before
+    assert TR.send_reminders(shop, results, AS_OF) == 0
+    assert log.read().count() == sent
+    due = TR.R.due_reminders(predictions.read(), shop.products, AS_OF)
+    assert due.isEmpty()
+
+
 def test_homepage_is_served_and_stored(spark, shop, trained):
     results, _ = trained
     asked = shop.users.select("user_id").limit(40)
