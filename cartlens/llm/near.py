@@ -10,10 +10,9 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from cartlens.llm import words as WD
-from cartlens.llm.base import batches, texts, whole
+from cartlens.llm.base import WORD, batches, texts, whole
 from cartlens.llm.graph import components
 from cartlens.session import cut_lineage
 
@@ -192,10 +191,12 @@ def _verify(found: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Record
 
 @dataclass
 class NearGroups:
-    """``members``: doc_id, bag, group_id (smallest doc_id of the class), group_size, kept; ``links``: a, b of bags."""
+    """``members``: doc_id, bag, group_id (smallest doc_id of the class), group_size, kept; ``links``: a, b of bags;
+    ``chosen``: doc_id, body (hash of the text) of one row of each class that has words."""
 
     members: DataFrame
     links: DataFrame
+    chosen: DataFrame
 
 
 def _ordered(x: str, y: str) -> list:
@@ -277,9 +278,12 @@ def near_groups(
         # Bags hang on their class already, so few rounds are left.
         hung = named.select(F.col("node").alias("a"), F.col("component").alias("b"))
         named = cut_lineage(components(hung.unionAll(more)), "classes")
-    found = signed.select("doc_id", "bag", "n").join(named, signed["bag"] == named["node"], "left")
+    found = signed.select("doc_id", "body", "bag", "n").join(named, signed["bag"] == named["node"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "bag"))
-    found = cut_lineage(found.select("doc_id", "bag", own.alias("class")), "named")
+    found = cut_lineage(found.select("doc_id", "body", "bag", own.alias("class")), "named")
+    # Null ids are larger than others.
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "body")).alias("row")
+    chosen = found.where("class is not null").groupBy("class").agg(least_row).select("row.doc_id", "row.body")
     sizes = found.where("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("group_id"), F.count("*").alias("group_size")
     )
@@ -289,7 +293,7 @@ def near_groups(
     members = known.unionByName(blank).select(
         "doc_id", "bag", "group_id", "group_size", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("kept")
     )
-    return NearGroups(members, links)
+    return NearGroups(members, links, chosen)
 
 
 def _runs_of(found: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
@@ -391,9 +395,15 @@ def _across_classes(spread: DataFrame, shingles_of: DataFrame, least: float) ->
 
 
 def drop_near(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs`` for each class, the one with the smallest doc_id; all columns unchanged."""
-    members = near_groups(docs, **options).members
-    stay = members.where("kept").select(F.col("doc_id").alias("__doc"), F.col("group_size").alias("__size")).distinct()
-    rows = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__doc"]))
-    once = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return rows.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n", "__doc", "__size")
+    """One row of ``docs`` for each class, the one with the smallest doc_id; all columns unchanged.
+
+    Null ids are larger than others; of rows that repeat an id the hash of the text decides. Rows without words are
+    classes of their own and all stay.
+    """
+    chosen = near_groups(docs, **options).chosen.withColumnsRenamed({"doc_id": "__doc", "body": "__chosen"})
+    named = whole().rlike(WORD)
+    rows = docs.where(named).withColumn("__body", F.xxhash64(whole()))
+    same = rows["doc_id"].eqNullSafe(chosen["__doc"]) & (rows["__body"] == chosen["__chosen"])
+    # Rows alike in id and text; they combine before the shuffle.
+    once = rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "__body"]).drop("__body")
+    return once.unionByName(docs.where(~named))

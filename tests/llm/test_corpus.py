@@ -229,6 +229,20 @@ def test_near(spark, docs, nothing):
     assert near.near_groups(nothing).members.count() == 0
 
 
+def test_drop_near_keeps_a_row_of_each_class(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(100))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (2, a + " more"), (2, b), (None, c), (None, c + " more"), (None, d), (None, e), (7, e + " more"), (7, e + " more"),
+            (None, None), (None, ""), (3, " "), (3, "\t"), (3, b + " x")]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, bag int")
+    kept = collections.Counter((r.doc_id, r.text) for r in near.drop_near(frame).collect())
+    either = collections.Counter(r for r in kept if r[0] is None and (r[1] or "").startswith(c))
+    assert either.total() == 1 and set(either) <= {(None, c), (None, c + " more")}
+    want = [(1, a), (2, b), (None, d), (7, e + " more"), (None, None), (None, ""), (3, " "), (3, "\t")]
+    assert kept - either == collections.Counter(want)
+
+
 def test_near_joins_classes_of_one_bucket_across_tiles(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
