@@ -163,16 +163,16 @@ def _repeated(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     _, number = np.unique(flat, return_inverse=True)
     cuts = np.cumsum([len(p) for p in passages])[:-1]
     passages = np.split(number + 1, cuts)
-    owners = pdf["doc_id"].fillna(_LAST).to_numpy(np.int64)
+    owners = pdf["place"].to_numpy(np.int64)
     index = FMIndex(passages, owners, window)
     rows = []
     for i, least in enumerate(index.least_owners(passages)):
         hit = least < owners[i]
         edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
         for low, high in zip(edges[::2], edges[1::2]):
-            rows.append((pdf["doc_id"].iloc[i], pdf["body"].iloc[i], pdf["start"].iloc[i] + low, high - low))
-    out = pd.DataFrame(rows, columns=["doc_id", "body", "start", "windows"])
-    return out.astype({"doc_id": "Int64", "body": "int64", "start": "int32", "windows": "int32"})
+            rows.append((owners[i], pdf["unnamed"].iloc[i], pdf["body"].iloc[i], pdf["start"].iloc[i] + low, high - low))
+    out = pd.DataFrame(rows, columns=["place", "unnamed", "body", "start", "windows"])
+    return out.astype({"place": "int64", "unnamed": "bool", "body": "int64", "start": "int32", "windows": "int32"})
 
 
 def _finish(found: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -252,13 +252,17 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     met = met.select("doc_id", "body", "text", "starts", "windows", "anchors", "states")
     first = cut_lineage(met.mapInArrow(lambda found: _resolve(found, window), _FIRST_PASS), "resolved")
 
-    pieces = first.where(F.col("kind") == _PASSAGE).select("key", "doc_id", "body", "start", "words")
+    # No column of a shard holds nulls, which pandas would turn into floats that round ids above 2^53.
+    unnamed = F.col("doc_id").isNull().alias("unnamed")
+    pieces = first.where(F.col("kind") == _PASSAGE).select("key", rank, unnamed, "body", "start", "words")
     total = pieces.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = scaled_partitions(spark, total / 8, shard_words)
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     covers = pieces.groupBy("shard").applyInPandas(
-        lambda pdf: _repeated(pdf, window), "doc_id long, body long, start int, windows int"
+        lambda pdf: _repeated(pdf, window), "place long, unnamed boolean, body long, start int, windows int"
     )
+    own_id = F.when(~F.col("unnamed"), F.col("place")).alias("doc_id")
+    covers = covers.select(own_id, "body", "start", "windows")
     single = first.where(F.col("kind") == _HOT).select("key", "doc_id", "body", "start", rank)
     firsts = single.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     firsts = firsts.where(F.col("first") < F.col("last")).select("key", "first")

@@ -124,6 +124,20 @@ def test_substring(spark, docs, nothing, shard_words):
         assert substring.repeated_passages(nothing).count() == 0
 
 
+def test_substring_keeps_ids_exact(spark):
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(1000)}" for _ in range(n)]
+    shared, other, low = text(80), text(80), (1 << 62) + 1
+    parts = {None: text(9) + shared + text(9) + other + text(9), low: text(9) + shared + text(9), low + 1: text(9) + other + text(9)}
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in parts.items()], "doc_id long, text string")
+    got = _by_id(substring.repeated_passages(frame))
+    assert {i: r.n_removed for i, r in got.items()} == {None: 160, low: 0, low + 1: 0}
+    parts = {(1 << 62) + k: text(9) + shared + text(9) for k in range(4)}
+    rows = [*((i, " ".join(t)) for i, t in parts.items()), (None, " ".join(text(9) + shared))]
+    got = _by_id(substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r.n_removed for i, r in got.items()} == {None: 80} | {i: 80 * (i > 1 << 62) for i in parts}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(6, 16))
