@@ -70,7 +70,7 @@ def _uri(url: str | None) -> str:
     return urllib.parse.quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url else "about:blank"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None = None,
+def record(page_id: int | str | None, url: str | None, payload: bytes, kind: str, refers_to: int | str | None = None,
            refers_url: str | None = None, date: str = RECORD_DATE) -> bytes:
     """Bytes of one WARC 1.1 record, the same for the same page wherever it is written."""
     digest = payload_digest(payload)
@@ -218,11 +218,10 @@ def _write(found: Iterator[pd.DataFrame], folder: str, file_bytes: int, date: st
             if row.payload is None:  # what the next rows with this key and payload revisit
                 known = row
                 continue
-            number = lambda x: None if pd.isna(x) else int(x)
             again = known is not None and (known.key, known.same) == (row.key, row.same)
             data = packed(record(
-                number(row.page_id), row.url, row.payload.encode(), "revisit" if again else "response",
-                number(known.refers_to) if again else None, known.refers_url if again else None, date,
+                row.page_id, row.url, row.payload.encode(), "revisit" if again else "response",
+                known.refers_to if again else None, known.refers_url if again else None, date,
             ))
             roll.add(data)
     if roll:
@@ -259,6 +258,8 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = MIN_REVISIT_BYT
     rows = rows.unionByName(revisits(pages, least_bytes), allowMissingColumns=True)
     rows = rows.withColumn("shard", shard("key")).repartition(parts, "shard")
     rows = rows.sortWithinPartitions("shard", "key", "page_id", "same", F.col("payload").isNotNull(), "url")
+    # As text: pandas would turn numbers among nulls into floats, which round ids above 2^53.
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     out = rows.mapInPandas(
         lambda found: _write(found, folder, file_bytes, date),
         "file string, shard int, records long, bytes long, sha256 string",
@@ -327,8 +328,9 @@ def _read(found: Iterator[pd.DataFrame], folder: str) -> Iterator[pd.DataFrame]:
 
 
 def _frame(rows: list, columns: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=columns)
-    return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+    # Ids among nulls as objects first, not as floats, which round those above 2^53.
+    frame = pd.DataFrame(rows, columns=columns, dtype=object)
+    return frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
 
 
 def read_warc(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:

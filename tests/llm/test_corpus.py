@@ -317,6 +317,16 @@ def test_warc(spark):
     assert warc.read_warc(spark, warc.write_warc(pages.limit(0), folder), folder).count() == 0
 
 
+def test_warc_keeps_ids_exact(spark):
+    top = (1 << 63) - 1
+    rows = [(top - 2, "a", "<p>1"), (top, "b", "<p>1"), (None, "c", "<p>1"), (top - 1, "d", "<p>2"), (-top, "e", "<p>2"), (None, "f", "<p>3")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    folder = scratch_path(spark, "warc")
+    got = warc.read_warc(spark, warc.write_warc(pages, folder), folder).collect()
+    want = {"a": (top - 2, None), "b": (top, top - 2), "c": (None, top - 2), "d": (top - 1, -top), "e": (-top, None), "f": (None, None)}
+    assert {r.url: (r.page_id, r.refers_to) for r in got} == want and len(got) == len(rows)
+
+
 def test_bpe(spark, docs, nothing):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = _by_id(bpe.digests(docs))
