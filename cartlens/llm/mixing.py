@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cartlens.llm.base import word_count
+from cartlens.llm.base import GAP, WORD, word_count
 from cartlens.session import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -211,3 +211,36 @@ def take_mixed(docs: DataFrame, **options) -> DataFrame:
     )
     found = rows.join(times, same).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return found.select(*[rows[c] for c in docs.columns])
+
+
+def take_pieces(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` in the mixture, word for word: a row for each time a document is taken whole, and where a
+    source's stream ends within a document a row with the words of its pieces, a prefix of its text. Columns unchanged.
+    """
+    key = ["__doc", "__source", "__body"]
+    taken = mix(docs, **options).taken
+    taken = taken.select(
+        F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("body").alias("__body"), "size", "taken"
+    )
+    # Each of the rows alike in id, source and text has its own number of words.
+    order = W.partitionBy(*key).orderBy(F.desc("taken"))
+    taken = taken.withColumn("__n", F.row_number().over(order)).where("taken > 0")
+    # Pieces of a document start at its first word every time, so what is left is a prefix.
+    left = F.col("taken") % F.col("size")
+    whole_times = F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int"))
+    turns = F.concat(whole_times, F.when(left > 0, F.array(left)).otherwise(F.array().cast("array<long>")))
+    taken = taken.select(*key, F.col("__n").alias("__m"), turns.alias("__turns"))
+    rows = docs.withColumns({"__d": F.col("doc_id"), "__s": F.col("source"), "__h": F.xxhash64("text")})
+    rows = rows.withColumn("__n", F.row_number().over(W.partitionBy("__d", "__s", "__h").orderBy(F.lit(1))))
+    same = (
+        (rows["__h"] == taken["__body"])
+        & (rows["__n"] == taken["__m"])
+        & rows["__d"].eqNullSafe(taken["__doc"])
+        & rows["__s"].eqNullSafe(taken["__source"])
+    )
+    found = rows.join(taken, same).withColumn("__words", F.explode("__turns"))
+    # Each word with the gap before it, so the prefix keeps its bytes.
+    parts = F.regexp_extract_all("text", F.lit(f"(?:{GAP})?{WORD}"), F.lit(0))
+    prefix = F.array_join(F.slice(parts, F.lit(1), F.col("__words").cast("int")), "")
+    text = F.when(F.col("__words") > 0, prefix).otherwise(F.col("text")).alias("text")
+    return found.select(*[text if c == "text" else rows[c] for c in docs.columns])

@@ -33,9 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of their sources takes them."""
+    """Documents as often as the mixture of their sources takes them, the last of each source up to its last word."""
     prepare(spark)
-    return mixing.take_mixed(docs)
+    return mixing.take_pieces(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

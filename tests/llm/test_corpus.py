@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import corpus_pipeline
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -429,3 +430,24 @@ def test_take_mixed(spark, docs):
     times = collections.Counter(r.doc_id for r in kept.collect())
     want = {i: math.floor(r["taken"] / max(r["size"], 1) + 0.5) for i, r in taken.items()}
     assert all(times[i] == n for i, n in want.items())
+
+
+def test_take_pieces(spark, docs):
+    taken = _by_id(mixing.mix(docs).taken)
+    kept = corpus_pipeline.mix_sources(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = collections.defaultdict(list)
+    for r in kept.collect():
+        got[r.doc_id].append(r.text)
+    for i, text, *_ in ROWS:
+        rows = sorted(got[i], key=len)
+        assert sum(len(_words(t)) for t in rows) == taken[i]["taken"]
+        assert all(t == text for t in rows[1:]) and all(text.startswith(t) for t in rows)
+    # One document that is a third of all words and wanted 0.4 times is there with its words.
+    rows = [(1, " ".join(f"a{i}" for i in range(300)), "a"), *((k, " ".join(f"b{i}" for i in range(100)), "b") for k in range(2, 8))]
+    frame = spark.createDataFrame([*rows, (2, rows[1][1], "b"), (None, "x", None)], "doc_id long, text string, source string")
+    want = {r["source"]: r["words"] for r in mixing.mix(frame, weights=(1.0, 5.0), share=0.7).sources.collect()}
+    words = collections.Counter()
+    for r in mixing.take_pieces(frame, weights=(1.0, 5.0), share=0.7).collect():
+        words[r.source] += len(_words(r.text))
+    assert 0 < want["a"] < 150 and {k: n for k, n in want.items() if n} == words
