@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, brown, embeddings, exact, language, mixing, near, quality, substring, warc
+from cartlens.llm import (
+    alignment, bpe, brown, embeddings, exact, language, mixing, near, quality, substring, toxicity, warc, whitening
+)
 from cartlens.llm.base import remainder, table
 from cartlens.session import scratch_path
 
@@ -86,6 +88,30 @@ def op10_mixing(spark, folder):
     return mixing.mix(table(spark, folder, "documents")).taken.drop("source", "body")
 
 
+@_query
+def op11_alignment(spark, folder):
+    return alignment.link_sums(table(spark, folder, "documents"))
+
+
+@_query
+def op12_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    examples = toxicity.fit_examples(docs, table(spark, folder, "labels"))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), examples)
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.PREDICT).cast("int").alias("predicted"),
+        F.col("evidence.doc_id").alias("evidence"),
+    )
+
+
+@_query
+def op13_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 ORACLES["op3_exact"] = r"""
 with texts as (
     select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as body from documents
