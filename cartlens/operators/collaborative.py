@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
-import numpy as np
-from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg.distributed import CoordinateMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlens import constants as C
 from cartlens.functions.scores import hash_bucket
 from cartlens.operators.cooccurrence import both_directions, pair_sums
-from cartlens.operators.factor_passes import wide_factors
 from cartlens.operators.interactions import user_routing, users_routed
+from cartlens.operators.krylov import TOLERANCE, singular_vectors
 from cartlens.operators.ranks import dense_codes, top_per_key
+from cartlens.operators.topn import BLOCK_PRODUCTS, best_products
 from cartlens.session import cut_lineage
 
-# The Gram matrix of this many products takes 34 MB on the driver.
-GRAM_PRODUCTS = 2048
-BLOCK_PRODUCTS = 65_536
-BLOCK_CELLS = 1 << 22
+
+# Products in the first range of candidates of users with little history.
+FIRST_PRODUCTS = 4096
 
 
 # --- factors -----------------------------------------------------------------
@@ -41,47 +38,35 @@ def factor_columns(factors: DataFrame) -> list[str]:
     return [name for name in factors.columns if name.startswith("f_")]
 
 
-def fit_factors(
-    scores: DataFrame,
-    rank: int | None = None,
-    gram_products: int = GRAM_PRODUCTS,
-) -> DataFrame:
-    """Right singular vectors of the uncentred score matrix.
+class Factors(NamedTuple):
+    """``table``: ``product_id, code, f_0 … f_{rank-1}``; ``report``: ``component, strength, residual``."""
+
+    table: DataFrame
+    report: DataFrame
+    passes: int
 
-    One row per product: ``product_id, code, f_0 … f_{rank-1}``. ``code`` numbers
-    the products by ascending id. Up to ``gram_products`` products the inner
-    products of all columns fit the driver and one pass over the data gives the
-    exact vectors; a wider catalogue is factored by distributed passes.
+
+def fit_reported(scores: DataFrame, rank: int | None = None, tolerance: float = TOLERANCE) -> Factors:
+    """Right singular vectors of the uncentred score matrix, with strength and residual of each.
+
+    ``code`` numbers the products by ascending id. The steps are the same for any number of products; a direction
+    whose residual stays above ``tolerance`` times the largest squared strength raises ``NotConverged``.
     """
     n_users, n_products = matrix_shape(scores)
     rank = rank or default_rank(n_users, n_products)
     codes = cut_lineage(dense_codes(scores, "product_id"), "codes")
-    cells = (
-        scores.where("score > 0")
-        .join(codes, "product_id")
-        .select("user_id", "code", "score")
+    cells = scores.where("score > 0").join(codes, "product_id").select("user_id", "code", "score")
+    fitted = singular_vectors(cells, codes, rank, tolerance)
+    report = scores.sparkSession.createDataFrame(
+        [(i, float(s), float(r)) for i, (s, r) in enumerate(zip(fitted.strengths, fitted.residuals))],
+        "component int, strength double, residual double",
     )
-    if n_products > gram_products:
-        factors = wide_factors(cells, codes, rank)
-    else:
-        factors = _narrow_factors(cells, n_products, rank)
-    return cut_lineage(codes.join(factors, "code"), "factors")
+    return Factors(cut_lineage(codes.join(fitted.vectors, "code"), "factors"), report, fitted.passes)
 
 
-def _narrow_factors(cells: DataFrame, n_products: int, rank: int) -> DataFrame:
-    """Leading eigenvectors of the Gram matrix Spark sums up over the users."""
-    import pyarrow as pa
-
-    entries = cells.select(
-        F.col("user_id").alias("i"), F.col("code").alias("j"), F.col("score").alias("value")
-    )
-    java_matrix = callMLlibFunc("createCoordinateMatrix", entries, 0, n_products)
-    rows = CoordinateMatrix(java_matrix).toIndexedRowMatrix()
-    _, vectors = np.linalg.eigh(rows.computeGramianMatrix().toArray())
-    leading = vectors[:, ::-1][:, :rank]
-    columns = {"code": np.arange(n_products, dtype=np.int64)}
-    columns |= {f"f_{i}": np.ascontiguousarray(v) for i, v in enumerate(leading.T)}
-    return cells.sparkSession.createDataFrame(pa.table(columns))
+def fit_factors(scores: DataFrame, rank: int | None = None) -> DataFrame:
+    """One row per product: ``product_id, code, f_0 … f_{rank-1}``, see ``fit_reported``."""
+    return fit_reported(scores, rank).table
 
 
 def tall_factors(factors: DataFrame) -> DataFrame:
@@ -106,6 +91,20 @@ def user_factors(scores: DataFrame, factors: DataFrame) -> DataFrame:
     return _known_cells(scores, factors).groupBy("user_id").agg(*_projections(factors))
 
 
+def _listed_users(
+    scores: DataFrame, factors: DataFrame, top_n: int, requested: DataFrame | None, block: int
+) -> DataFrame:
+    names = factor_columns(factors)
+    eligible = users_routed(scores, "factors")
+    if requested is not None:
+        eligible = eligible.join(requested, "user_id", "left_semi")
+    if factors.isEmpty():
+        raise ValueError("no factors to score with")
+    cells = cut_lineage(_known_cells(scores.join(eligible, "user_id", "left_semi"), factors), "cells")
+    users = cells.groupBy("user_id").agg(*_projections(factors))
+    return best_products(users, cells.select("user_id", "code"), factors, names, top_n, block)
+
+
 def factor_recommendations(
     scores: DataFrame,
     factors: DataFrame,
@@ -115,82 +114,36 @@ def factor_recommendations(
 ) -> DataFrame:
     """Best unseen products of users with enough history, by reconstructed score.
 
-    Products are scored in blocks of fixed size: each block of factors is small
-    enough to ship to every task, which keeps only its ``top_n`` per user. Users
-    by products never exists as rows, and the list of seen products a task holds
-    for a user stays within the block.
+    Products are taken by falling length of their factors, so most users need few of them (see ``topn``).
+    Users by products never exists as rows, and the list of seen products a task holds for a user stays
+    within a block.
     """
-    names = factor_columns(factors)
-    eligible = users_routed(scores, "factors")
-    if requested is not None:
-        eligible = eligible.join(requested, "user_id", "left_semi")
-    cells = _known_cells(scores.join(eligible, "user_id", "left_semi"), factors)
-    n_products = factors.agg(F.count("*")).first()[0]
-    if not n_products:
-        raise ValueError("no factors to score with")
-    seen = F.collect_list("code").alias("seen")
-    if n_products <= block:
-        users = cells.groupBy("user_id").agg(*_projections(factors), seen)
-    else:
-        cells = cut_lineage(cells, "cells")
-        projected = cut_lineage(cells.groupBy("user_id").agg(*_projections(factors)), "users")
-    parts = []
-    for start in range(0, n_products, block):
-        inside = F.col("code").between(start, start + block - 1)
-        if n_products > block:
-            seen_here = cells.where(inside).groupBy("user_id").agg(seen)
-            users = projected.join(seen_here, "user_id", "left")
-        frame = factors.where(inside).orderBy("code").select("product_id", *names).toPandas()
-        shipped = scores.sparkSession.sparkContext.broadcast(
-            (frame["product_id"].to_numpy(), frame[names].to_numpy())
-        )
-        best = users.mapInPandas(
-            _block_scorer(shipped, names, start, top_n),
-            "user_id long, product_id long, score double",
-        )
-        if n_products > block:
-            best = cut_lineage(best, "block")
-            shipped.unpersist()
-        parts.append(best)
-    return _ranked(reduce(DataFrame.unionAll, parts), top_n)
-
-
-def _block_scorer(shipped, names: list[str], start: int, top_n: int, cells: int = BLOCK_CELLS):
-    """Task function: score a block of products for a batch of users."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pandas as pd
-
-        ids, vectors = shipped.value
-        size = len(ids)
-        keep = min(top_n, size)
-        step = max(1, cells // size)
-        for batch in batches:
-            for at in range(0, len(batch), step):
-                users = batch.iloc[at : at + step]
-                score = np.round(users[names].to_numpy() @ vectors.T, 4) + 0.0
-                seen = [s if s is not None else () for s in users["seen"]]
-                row = np.repeat(np.arange(len(users)), [len(s) for s in seen])
-                col = np.concatenate(seen).astype(np.int64) - start
-                score[row, col] = -np.inf
-
-                cut = -np.partition(-score, keep - 1, axis=1)[:, keep - 1 : keep]
-                row, col = np.nonzero((score >= cut) & (score > -np.inf))
-                value = score[row, col]
-                order = np.lexsort((col, -value, row))
-                row, col, value = row[order], col[order], value[order]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                best = place < keep
-                yield pd.DataFrame(
-                    {
-                        "user_id": users["user_id"].to_numpy()[row[best]],
-                        "product_id": ids[col[best]],
-                        "score": value[best],
-                    }
-                )
-
-    return run
+    lists = _listed_users(scores, factors, top_n, requested, block)
+    entries = F.posexplode(F.arrays_zip("products", "scores")).alias("at", "e")
+    return lists.select("user_id", entries).select(
+        "user_id",
+        F.col("e.products").alias("product_id"),
+        F.col("e.scores").alias("score"),
+        (F.col("at") + 1).alias("rank"),
+    )
+
+
+def scoring_share(
+    scores: DataFrame,
+    factors: DataFrame,
+    top_n: int = C.HOMEPAGE_TOP_N,
+    requested: DataFrame | None = None,
+    block: int = BLOCK_PRODUCTS,
+) -> DataFrame:
+    """One row: users, products, and how many of their pairs had to be scored for exact lists."""
+    lists = _listed_users(scores, factors, top_n, requested, block)
+    products = factors.agg(F.count("*")).scalar()
+    return lists.agg(F.count("*").alias("users"), F.coalesce(F.sum("n_scored"), F.lit(0)).alias("scored")).select(
+        "users",
+        products.alias("products"),
+        "scored",
+        F.when(F.col("users") * products > 0, F.col("scored") / (F.col("users") * products)).alias("share"),
+    )
 
 
 def _ranked(scored: DataFrame, top_n: int) -> DataFrame:
@@ -226,10 +179,13 @@ def cell_split_rmse(scores: DataFrame, rank: int | None = None) -> DataFrame:
 # --- item similarity ---------------------------------------------------------
 
 
-def item_similarity(scores: DataFrame, items: DataFrame | None = None) -> DataFrame:
+def item_similarity(
+    scores: DataFrame, items: DataFrame | None = None, others: Column | None = None
+) -> DataFrame:
     """Cosine of the score columns of two products, ``item_a < item_b``, where above 0.
 
-    ``items``, distinct product ids, asks only for pairs with one of them.
+    ``items``, distinct product ids, asks only for pairs with one of them; ``others``, a condition on
+    ``product_id``, only for their pairs with products that meet it or are asked for themselves.
     """
     positive = scores.where("score > 0").select("user_id", "product_id", "score")
     norms = positive.groupBy("product_id").agg(
@@ -242,6 +198,8 @@ def item_similarity(scores: DataFrame, items: DataFrame | None = None) -> DataFr
         positive = positive.join(marked, "product_id", "left").withColumn(
             wanted, F.coalesce("marked", F.lit(False))
         )
+        if others is not None:
+            positive = positive.where(F.col(wanted) | others)
     dots = pair_sums(positive, "user_id", "product_id", "score", wanted)
     side_a = norms.select(F.col("product_id").alias("item_a"), F.col("norm").alias("norm_a"))
     side_b = norms.select(F.col("product_id").alias("item_b"), F.col("norm").alias("norm_b"))
@@ -257,20 +215,78 @@ def item_similarity(scores: DataFrame, items: DataFrame | None = None) -> DataFr
 
 
 def similarity_recommendations(
-    scores: DataFrame, requested: DataFrame, top_n: int = C.HOMEPAGE_TOP_N
+    scores: DataFrame,
+    requested: DataFrame,
+    top_n: int = C.HOMEPAGE_TOP_N,
+    first: int = FIRST_PRODUCTS,
 ) -> DataFrame:
     """Best unseen products of users with little history, by similarity to what they know.
 
     ``requested`` holds distinct user ids. Unknown users and users without a
     positive score get products at score 0.
+
+    A score is a weighted mean of the user's own scores, so none exceeds the highest of them, and equal scores go to
+    the lower id. So candidates are taken in ranges of rising product ids, about ``first`` products and then
+    ever more: a list that is full of the highest score possible is final, and only the users without one
+    meet the next range. Similarities are summed for those users' products and the range alone.
     """
     practised = user_routing(scores).where(F.col("n_interacted") >= C.MIN_INTERACTIONS)
     thin = requested.select("user_id").join(practised, "user_id", "left_anti")
     known = scores.where("score > 0").join(thin, "user_id", "left_semi")
-    seen_items = known.select("product_id").distinct()
-    near = both_directions(item_similarity(scores, seen_items), "similarity")
+    ranges = _id_ranges(scores, first)
+    if len(ranges) > 1:
+        known = cut_lineage(known, "known")
+    open_, carried, finished = known, None, []
+    for low, high in ranges:
+        lists = _lists_in_range(scores, open_, low, high)
+        if carried is not None:
+            lists = lists.unionAll(carried)
+        lists = _ranked(lists, top_n)
+        if high is None:
+            finished.append(lists)
+            break
+        lists = cut_lineage(lists, "lists")
+        most = open_.groupBy("user_id").agg(F.round(F.max("score"), 4).alias("most"))
+        full = lists.where(F.col("rank") == top_n).join(most, "user_id").where(F.col("score") >= F.col("most"))
+        final = cut_lineage(full.select("user_id"), "final")
+        finished.append(lists.join(final, "user_id", "left_semi"))
+        carried = lists.join(final, "user_id", "left_anti").select("user_id", "product_id", "score")
+        open_ = cut_lineage(open_.join(final, "user_id", "left_anti"), "open")
+        if open_.isEmpty():
+            break
+    entry = F.struct((-F.col("score")).alias("place"), "product_id", "score")
+    listed = reduce(DataFrame.unionAll, finished).groupBy("user_id").agg(F.collect_list(entry).alias("listed"))
+    seen = known.groupBy("user_id").agg(F.collect_list("product_id").alias("seen"))
+    return _filled(thin.join(seen, "user_id", "left").join(listed, "user_id", "left"), scores, top_n)
+
+
+def _id_ranges(scores: DataFrame, first: int) -> list[tuple[int | None, int | None]]:
+    """Ranges ``low < product_id <= high`` of about ``first`` products, then eight times as many, and so on."""
+    ids = scores.select("product_id").distinct()
+    number = ids.count()
+    shares, size = [], first
+    while size < number:
+        shares.append(size / number)
+        size *= 8
+    cuts = ids.agg(F.percentile_approx("product_id", shares, 10_000)).first()[0] if shares else []
+    cuts = sorted(set(cuts))
+    return list(zip([None, *cuts], [*cuts, None]))
+
+
+def _lists_in_range(scores: DataFrame, known: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """``user_id, product_id, score``: every unseen product of the range with a score above 0."""
+
+    def inside(column: str) -> Column | None:
+        found = [F.col(column) > low] if low is not None else []
+        found += [F.col(column) <= high] if high is not None else []
+        return reduce(lambda a, b: a & b, found) if found else None
+
+    items = known.select("product_id").distinct()
+    near = both_directions(item_similarity(scores, items, inside("product_id")), "similarity")
+    if inside("other") is not None:
+        near = near.where(inside("other"))
     weighted = F.sum(F.col("similarity") * F.col("score"))
-    scored = (
+    return (
         known.select("user_id", F.col("product_id").alias("item"), "score")
         .join(near, "item")
         .groupBy("user_id", F.col("other").alias("product_id"))
@@ -280,12 +296,6 @@ def similarity_recommendations(
         .join(known.select("user_id", "product_id"), ["user_id", "product_id"], "left_anti")
         .where("score > 0")
     )
-    entry = F.struct((-F.col("score")).alias("place"), "product_id", "score")
-    listed = (
-        _ranked(scored, top_n).groupBy("user_id").agg(F.collect_list(entry).alias("listed"))
-    )
-    seen = known.groupBy("user_id").agg(F.collect_list("product_id").alias("seen"))
-    return _filled(thin.join(seen, "user_id", "left").join(listed, "user_id", "left"), scores, top_n)
 
 
 def _filled(users: DataFrame, scores: DataFrame, top_n: int) -> DataFrame:

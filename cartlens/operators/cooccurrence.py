@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TILE_ITEMS = 4096
@@ -34,22 +34,44 @@ def pair_sums(
     ``wanted``, a boolean column that depends on the item, restricts the result to
     pairs with a wanted item on at least one side.
     """
-    of_group = Window.partitionBy("grp")
-    sized = rows.select(
+    narrow, wide = dealt(rows, group, item, weight, wanted, tile)
+    summer = _chunk_summer(CHUNK_ROWS, wanted is None)
+    partial = [
+        part.sortWithinPartitions("grp", "lo", "hi", "item").mapInArrow(summer, PAIR_SCHEMA)
+        for part in (narrow, wide)
+    ]
+    return (
+        partial[0]
+        .unionAll(partial[1])
+        .groupBy("item_a", "item_b")
+        .agg(F.sum("total").alias("total"))
+    )
+
+
+def dealt(
+    rows: DataFrame, group: str, item: str, weight: str | None, wanted: str | None, tile: int
+) -> tuple[DataFrame, DataFrame]:
+    """The rows as work for tasks: narrow groups whole, wide ones cut into pairs of parts.
+
+    Sizes come from partial sums, so no task ever holds a hot group. The wide groups are few, at most one per
+    ``tile`` rows, and joining them back splits a hot one where Spark does not broadcast them.
+    """
+    cells = rows.select(
         F.col(group).alias("grp"),
         F.col(item).alias("item"),
         (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("weight"),
         (F.col(wanted) if wanted else F.lit(True)).alias("wanted"),
-    ).withColumn("n_items", F.count("*").over(of_group))
-    if wanted:
-        sized = sized.withColumn("any_wanted", F.max("wanted").over(of_group)).where("any_wanted")
-
-    narrow = sized.where(F.col("n_items") <= tile).select(
+    )
+    sizes = cells.groupBy("grp").agg(F.count("*").alias("n_items"), F.max("wanted").alias("any_wanted"))
+    wide_groups = sizes.where(F.col("n_items") > tile).select(
+        F.col("grp").alias("wide"), F.ceil(F.col("n_items") / tile).cast("int").alias("parts"), "any_wanted"
+    )
+    marked = cells.join(wide_groups, F.col("grp") == F.col("wide"), "left")
+    narrow = marked.where("wide is null").select(
         "grp", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("part"), *CELL
     )
     wide = (
-        sized.where(F.col("n_items") > tile)
-        .withColumn("parts", F.ceil(F.col("n_items") / tile).cast("int"))
+        marked.where("any_wanted")
         .withColumn("part", F.pmod(F.xxhash64("item"), "parts").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
@@ -59,19 +81,8 @@ def pair_sums(
             "part",
             *CELL,
         )
-        .repartition("grp", "lo", "hi")
-    )
-    summer = _chunk_summer(CHUNK_ROWS, wanted is None)
-    partial = [
-        part.sortWithinPartitions("grp", "lo", "hi", "item").mapInArrow(summer, PAIR_SCHEMA)
-        for part in (narrow, wide)
-    ]
-    return (
-        partial[0]
-        .unionAll(partial[1])
-        .groupBy("item_a", "item_b")
-        .agg(F.sum("total").alias("total"))
     )
+    return narrow.repartition("grp"), wide.repartition("grp", "lo", "hi")
 
 
 def both_directions(pairs: DataFrame, *values: str) -> DataFrame:

@@ -549,3 +549,11 @@ select model, requirement, observed, cast(required as bigint) as required,
 from observed""",
     ),
 }
+
+# Ways of storing that must not change what is stored.
+ORACLES |= {
+    "recommendations_stored": ORACLES["recommendations_upsert"],
+    "predictions_marked_in_place": ORACLES["predictions_marked"],
+    "segments_committed": ORACLES["segment_rollup"],
+    "streamed_scores": ORACLES["interaction_scores"],
+}

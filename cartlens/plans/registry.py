@@ -17,10 +17,18 @@ from cartlens.operators import repurchase as R
 from cartlens.operators import segments as S
 from cartlens.plans import training as TR
 from cartlens.plans import snapshots as K
+from cartlens.plans.commits import CommitLog
+from cartlens.plans.tables import LoggedTable, Run
 from cartlens.session import cut_lineage, scratch_path, tune
-from cartlens.sources.sample import AS_OF, CATALOGUE_SIZE, RECENT_SINCE, sample_shop
+from cartlens import schemas
+from cartlens.sources.sample import AS_OF, CATALOGUE_SIZE, RECENT_SINCE, offer_scores, sample_shop
+from cartlens.sources.tables import conform
+from cartlens.streaming.fresh_scores import absorb_new_logs, fresh_scores
 
 STAND_IN_CLUSTERS = 4
+# Directions of the offers' matrix, and the residual left, as a share of the largest squared strength.
+OFFER_RANK, OFFER_TOLERANCE = 4, 1e-6
+LOG_PARTS = 3
 _REGISTERED: dict[str, Callable[["Case"], DataFrame]] = {}
 
 
@@ -29,8 +37,20 @@ class Case:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = tune(spark)
+        self.folder = folder
         self.shop = sample_shop(spark, folder)
 
+    def fresh_log(self) -> CommitLog:
+        return CommitLog(self.spark, scratch_path(self.spark, "log"))
+
+    @cached_property
+    def offers(self) -> DataFrame:
+        return cut_lineage(offer_scores(self.spark, self.folder), "offers")
+
+    @cached_property
+    def offer_factors(self) -> CF.Factors:
+        return CF.fit_reported(self.offers, OFFER_RANK, OFFER_TOLERANCE)
+
     @cached_property
     def logs(self) -> DataFrame:
         return I.behavior_logs(self.shop.behavior)
@@ -301,6 +321,19 @@ def svd_cell_rmse(case):
     return CF.cell_split_rmse(case.stored_scores, rank=8)
 
 
+@_query
+def offer_strengths(case):
+    """Leading strengths of customers by thousands of offers, each with its residual within the tolerance."""
+    report = case.offer_factors.report
+    return report.select("component", F.round("strength", 3).alias("strength"), (F.col("residual") <= OFFER_TOLERANCE).alias("found"))
+
+
+@_query
+def offer_recommendations(case):
+    """Lists out of thousands of offers, most of which are never scored."""
+    return CF.factor_recommendations(case.offers, case.offer_factors.table)
+
+
 @_query
 def homepage_recommendations(case):
     scores = case.stored_scores
@@ -319,16 +352,29 @@ def homepage_thin_users(case):
     return CF.with_best_sellers(users, lists, case.trending)
 
 
-@_query
-def recommendations_upsert(case):
-    stored = case.recent_scores.select(
+def _stored_lists(case):
+    return case.recent_scores.select(
         "user_id",
         "product_id",
         "score",
         F.when(F.col("score") > 5, "collaborative").otherwise("trending").alias("rec_type"),
     )
+
+
+@_query
+def recommendations_upsert(case):
     lists = CF.with_best_sellers(case.thin_users, case.thin_lists, case.trending)
-    return K.recommendations_upsert(stored, lists, case.thin_users)
+    return K.recommendations_upsert(_stored_lists(case), lists, case.thin_users)
+
+
+@_query
+def recommendations_stored(case):
+    """The same change of stored lists, written as a delta of its keys and merged on read."""
+    lists = cut_lineage(CF.with_best_sellers(case.thin_users, case.thin_lists, case.trending), "served")
+    table = LoggedTable(case.fresh_log(), "product_recommendations")
+    table.refresh(_stored_lists(case), ["user_id", "rec_type"], buckets=16)
+    table.upsert(*K.served_lists(lists, case.thin_users))
+    return table.read()
 
 
 # --- segments ----------------------------------------------------------------
@@ -364,6 +410,20 @@ def segment_rollup(case):
     return S.segment_rollup(case.labels, S.user_segments(case.stand_in))
 
 
+@_query
+def segments_committed(case):
+    """Segments and members of one run, committed together after an earlier run, read from one commit."""
+    log = case.fresh_log()
+    for members in (case.stand_in.limit(0), case.stand_in):
+        run = Run(log)
+        run.replace("customer_segments", case.labels.drop("code"))
+        run.replace("user_segments", S.user_segments(members), ["user_id"], buckets=16)
+        run.commit()
+    state = log.current()
+    tables = [LoggedTable(log, name, state).read() for name in ("customer_segments", "user_segments")]
+    return S.segment_rollup(*tables)
+
+
 @_query
 def user_segment_lookup(case):
     return S.user_segment_lookup(case.shop.users, S.user_segments(case.stand_in), case.labels)
@@ -459,6 +519,28 @@ def predictions_marked(case):
     return R.mark_notified(case.predictions, due)
 
 
+@_query
+def predictions_marked_in_place(case):
+    """Marks written for the predictions due alone, and merged on read."""
+    table = LoggedTable(case.fresh_log(), "repurchase_predictions")
+    current = table.refresh(case.predictions, R.PAIR, buckets=16)
+    due = cut_lineage(R.due_reminders(current, case.shop.products, AS_OF), "due")
+    table.upsert(R.mark_notified(due.select(current.columns), due), due.select(R.PAIR), table.generation())
+    return table.read()
+
+
+# --- streaming ---------------------------------------------------------------
+
+
+@_query
+def streamed_scores(case):
+    """Interaction scores kept fresh by a stream over the whole log, arriving in parts."""
+    logs, sums = scratch_path(case.spark, "logs"), LoggedTable(case.fresh_log(), "sums")
+    conform(case.shop.behavior, schemas.BEHAVIOR).repartition(LOG_PARTS).write.parquet(logs)
+    absorb_new_logs(case.spark, logs, sums, scratch_path(case.spark, "stream"), files_per_batch=1)
+    return fresh_scores(sums)
+
+
 # --- training ----------------------------------------------------------------
 
 

@@ -68,8 +68,8 @@ def keyed_replace(
     return existing.join(touched.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
-def recommendations_upsert(existing: DataFrame, lists: DataFrame, requested: DataFrame) -> DataFrame:
-    """Store new lists: replaces each requested user's rows of the type just served.
+def served_lists(lists: DataFrame, requested: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows to store, and the keys ``user_id, rec_type`` whose old rows they replace.
 
     A requested user without a list has asked for best sellers, whose old rows go.
     """
@@ -79,5 +79,10 @@ def recommendations_upsert(existing: DataFrame, lists: DataFrame, requested: Dat
         .join(served, "user_id", "left")
         .withColumn("rec_type", F.coalesce("rec_type", F.lit("trending")))
     )
-    new = lists.select("user_id", "product_id", "score", "rec_type")
+    return lists.select("user_id", "product_id", "score", "rec_type"), touched
+
+
+def recommendations_upsert(existing: DataFrame, lists: DataFrame, requested: DataFrame) -> DataFrame:
+    """The stored lists with each requested user's rows of the type just served replaced."""
+    new, touched = served_lists(lists, requested)
     return keyed_replace(existing, new, touched, ["user_id", "rec_type"])

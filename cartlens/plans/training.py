@@ -16,7 +16,9 @@ from cartlens.operators import collaborative as CF
 from cartlens.operators import interactions as I
 from cartlens.operators import repurchase as R
 from cartlens.operators import segments as S
-from cartlens.plans.snapshots import SnapshotTable, recommendations_upsert
+from cartlens.plans.commits import CommitLog, Conflict, State
+from cartlens.plans.snapshots import served_lists
+from cartlens.plans.tables import LoggedTable, Run
 from cartlens.session import cut_lineage
 from cartlens.sources.sample import Shop
 
@@ -24,21 +26,33 @@ REPORT_SCHEMA = "model string, metric string, value double, detail string"
 
 
 class Results:
-    """The result tables and saved models below one folder."""
+    """The result tables and saved models below one folder, changed by commits to one log."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, state: State | None = None):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.log = CommitLog(spark, self.folder)
+        self.state = state
 
-    def table(self, name: str) -> SnapshotTable:
-        return SnapshotTable(self.spark, f"{self.folder}/{name}")
+    def pinned(self) -> Results:
+        """The same results as of now: tables and models read from it belong to one commit."""
+        return Results(self.spark, self.folder, self.log.current())
+
+    def table(self, name: str) -> LoggedTable:
+        return LoggedTable(self.log, name, self.state)
 
     def read_or_none(self, name: str) -> DataFrame | None:
         table = self.table(name)
         return table.read() if table.exists() else None
 
+    def begin(self) -> Run:
+        return Run(self.log)
+
     def model_path(self, name: str) -> str:
-        return f"{self.folder}/models/{name}"
+        found = (self.state or self.log.current()).models.get(name)
+        if found is None:
+            raise FileNotFoundError(f"no committed model {name} below {self.folder}")
+        return found
 
     def forest(self) -> PipelineModel:
         return PipelineModel.load(self.model_path("forest"))
@@ -119,8 +133,12 @@ def train_collaborative(shop: Shop, results: Results) -> DataFrame:
     n_users, n_products = CF.matrix_shape(scores)
     _require(n_users, 1, "logs")
     _require(min(n_users, n_products), C.MIN_MATRIX_SIDE, "users or products")
-    results.table("factors").refresh(CF.fit_factors(scores))
-    results.table("interaction_scores").refresh(scores)
+    fitted = CF.fit_reported(scores)
+    run = results.begin()
+    run.replace("factors", fitted.table)
+    run.replace("interaction_scores", scores)
+    run.commit()
+    worst = fitted.report.agg(F.max("residual")).first()[0]
     actions = I.action_distribution(logs).select(
         F.lit("collaborative").alias("model"),
         F.lit("action_events").alias("metric"),
@@ -136,6 +154,7 @@ def train_collaborative(shop: Shop, results: Results) -> DataFrame:
                 results.spark,
                 "collaborative",
                 n_components=CF.default_rank(n_users, n_products),
+                worst_residual=worst,
                 n_users=n_users,
                 n_products=n_products,
             )
@@ -150,7 +169,9 @@ def train_association(shop: Shop, results: Results) -> DataFrame:
     profile = B.basket_profile(items)
     _require(profile.first()["total_orders"], C.MIN_BASKETS, "baskets")
     mined = B.mine_rules(items)
-    rules = results.table("association_rules").refresh(mined.rules)
+    run = results.begin()
+    rules = run.replace("association_rules", mined.rules)
+    run.commit()
     return (
         _tall(profile, "association")
         .unionAll(_tall(B.rules_profile(mined._replace(rules=rules)), "association"))
@@ -180,11 +201,13 @@ def train_clustering(
     fitted = S.fit_clusters(features, n_clusters, restarts)
     assignment = cut_lineage(fitted.assignment)
     labels = S.segment_labels(S.cluster_profile(features, assignment), fitted.k)
-    results.table("scaler_stats").refresh(fitted.stats)
+    run = results.begin()
+    run.replace("scaler_stats", fitted.stats)
     if fitted.model is not None:
-        fitted.model.write().overwrite().save(results.model_path("kmeans"))
-    membership = results.table("user_segments").refresh(S.user_segments(assignment))
-    segments = results.table("customer_segments").refresh(labels.drop("code"))
+        run.save_model("kmeans", fitted.model)
+    membership = run.replace("user_segments", S.user_segments(assignment))
+    segments = run.replace("customer_segments", labels.drop("code"))
+    run.commit()
     stats = S.user_feature_profile(features).unpivot(
         ["feature"], ["mean", "min", "max"], "stat", "value"
     )
@@ -223,12 +246,16 @@ def train_repurchase(shop: Shop, results: Results, as_of: dt.date, **forest) ->
     encoder = cut_lineage(R.product_encoder(gaps))
     model, metrics = evaluate_forest(R.training_features(gaps, encoder), **forest)
     quality = metrics.first()
-    model.write().overwrite().save(results.model_path("forest"))
-    results.table("product_encoder").refresh(encoder)
+    run = results.begin()
+    run.save_model("forest", model)
+    run.replace("product_encoder", encoder)
     served = R.serving_features(R.pair_state(days), encoder)
-    results.table("repurchase_predictions").refresh(
-        R.due_dates(model.transform(served), as_of, "prediction", quality["confidence"])
+    run.replace(
+        "repurchase_predictions",
+        R.due_dates(model.transform(served), as_of, "prediction", quality["confidence"]),
+        R.PAIR,
     )
+    run.commit()
     weights = gaps.agg(F.count("weight_gram").alias("rows_with_weight"))
     return (
         _tall(R.gap_profile(gaps), "repurchase")
@@ -275,11 +302,12 @@ def send_reminders(
 ) -> int:
     """Append the reminders due, then mark their predictions; returns how many were appended.
 
-    Reminders carry the number of the predictions' snapshot. A run stopped in between leaves reminders
-    without marks; the next one finds them under the same number, sends none twice and marks them.
+    Reminders carry the commit that made the predictions. A run stopped in between leaves reminders
+    without marks; the next one finds them under the same number, sends none twice and marks them. Marks are
+    written for the predictions due, not for the table; a training that replaces it meanwhile keeps its own.
     """
-    predictions, log = results.table("repurchase_predictions"), results.table("notifications")
-    version, current = predictions.versions()[-1], predictions.read()
+    predictions, log = results.pinned().table("repurchase_predictions"), results.table("notifications")
+    version, current = predictions.generation(), predictions.read()
     due = cut_lineage(R.due_reminders(current, shop.products, as_of, days_ahead))
     if due.isEmpty():
         return 0
@@ -289,30 +317,35 @@ def send_reminders(
     sent = reminders.count()
     if sent:
         log.append(reminders)
-    predictions.refresh(R.mark_notified(current, due))
+    marked = R.mark_notified(due.select(current.columns), due)
+    try:
+        results.table("repurchase_predictions").upsert(marked, due.select(R.PAIR), version)
+    except Conflict:
+        pass  # the new predictions have not been looked at yet
     return sent
 
 
 def serve_homepage(
     shop: Shop, results: Results, requested: DataFrame, top_n: int = C.HOMEPAGE_TOP_N
 ) -> DataFrame:
-    """Lists for the requested users, also stored; best sellers while no model is saved."""
-    scores = results.read_or_none("interaction_scores")
-    # Both tables or none: a stopped run may have left only one of them.
-    factors = None if scores is None else results.read_or_none("factors")
-    scores = None if factors is None else scores
+    """Lists for the requested users, also stored; best sellers while no model is saved.
+
+    Scores and factors are those of one commit. The lists of the requested users are written, not the table.
+    """
+    found = results.pinned()
+    scores, factors = found.read_or_none("interaction_scores"), found.read_or_none("factors")
     sold = delivered_lines(shop)
     lists = cut_lineage(
         CF.homepage_recommendations(
             requested, scores, CF.trending_products(sold, top_n), factors, top_n
         )
     )
+    new, touched = served_lists(lists, requested)
     table = results.table("product_recommendations")
-    stored = table.read() if table.exists() else None
-    if stored is None:
-        table.refresh(lists.select("user_id", "product_id", "score", "rec_type"))
+    if table.exists():
+        table.upsert(new, touched)
     else:
-        table.refresh(recommendations_upsert(stored, lists, requested))
+        table.refresh(new, ["user_id", "rec_type"])
     return lists
 
 

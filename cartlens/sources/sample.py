@@ -106,3 +106,16 @@ def sample_shop(spark: SparkSession, folder: str) -> Shop:
         .alias("created_at"),
     )
     return Shop(behavior, orders, order_items, products, users)
+
+
+def offer_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Units per customer and offer, as scores: a catalogue of thousands, each part in two offers by its supplier."""
+    orders = _table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id")
+    )
+    lines = _table(spark, folder, "lineitem").select(
+        "l_orderkey", (F.col("l_partkey") * 2 + F.col("l_suppkey") % 2).alias("product_id"), "l_quantity"
+    )
+    return lines.join(orders, "l_orderkey").groupBy("user_id", "product_id").agg(
+        F.sum(F.col("l_quantity").cast("double")).alias("score"), F.count("*").alias("n_events")
+    )

@@ -72,7 +72,7 @@ def test_wide_catalogue_passes_find_the_same_space(spark):
     cells = [(u, 3 * p, base[u, p] + noise[u, p]) for u in range(60) for p in range(40)]
     frame = frame_of(spark, cells)
     x = matrix(frame).to_numpy()
-    v, got = projector(CF.fit_factors(frame, rank=4, gram_products=0))
+    v, got = projector(CF.fit_factors(frame, rank=4))
     assert np.allclose(v.T @ v, np.eye(4), atol=1e-8)
     assert np.allclose(got, rank_projector(x, 4), atol=1e-5)
 
@@ -184,7 +184,7 @@ def test_wide_passes_keep_zero_products_and_weak_directions(spark):
     rows = [(u, p, float(values[u, p]), 1) for u in range(40) for p in range(12)]
     rows += [(0, 12, 0.0, 1), (1, 13, 0.0, 1)]
     scores = spark.createDataFrame(rows, "user_id long, product_id long, score double, n_events long")
-    factors = CF.fit_factors(scores, rank=6, gram_products=0)
+    factors = CF.fit_factors(scores, rank=6)
     v, wide = projector(factors)
     assert v.shape == (14, 6) and np.allclose(v[12:], 0)
     _, _, exact = np.linalg.svd(np.pad(values, ((0, 0), (0, 2))))

@@ -7,7 +7,9 @@ from cartlens import schemas
 from cartlens.functions.scores import hash_bucket
 from cartlens.operators import interactions as I
 from cartlens.plans import training as TR
+from cartlens.plans.commits import CommitLog
 from cartlens.plans.snapshots import SnapshotTable, keyed_replace, recommendations_upsert
+from cartlens.plans.tables import LoggedTable
 from cartlens.session import scratch_path
 from cartlens.sources.sample import AS_OF, sample_shop
 from cartlens.sources.tables import conform, read_parquet, run_sql
@@ -171,7 +173,7 @@ def test_gates_of_small_data(spark, shop):
 
 def test_stream_ends_at_the_batch_result(spark, shop):
     folder, checkpoint = scratch_path(spark, "logs"), scratch_path(spark, "stream")
-    sums = SnapshotTable(spark, scratch_path(spark, "sums"))
+    sums = LoggedTable(CommitLog(spark, scratch_path(spark, "sums")), "sums")
     typed = conform(shop.behavior, schemas.BEHAVIOR)
     half = typed.withColumn("half", F.pmod(F.xxhash64("created_at"), F.lit(2)))
     for part in (0, 1):
