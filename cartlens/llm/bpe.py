@@ -251,7 +251,8 @@ class Transducer:
 class Encoder:
     """Ids of whole texts.
 
-    Pieces met before are looked up by a 64-bit hash of their bytes while they are few enough.
+    Pieces met before are looked up by a 64-bit hash of their bytes while they are few enough, and their bytes
+    compared; a piece that only shares a hash is encoded by itself.
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -273,6 +274,9 @@ class Encoder:
         self.firsts = np.zeros(0, np.int64)
         self.counts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.spelled = np.zeros(0, np.uint8)
+        self.spell_firsts = np.zeros(0, np.int64)
+        self.spell_sizes = np.zeros(0, np.int64)
 
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Encode new pieces, in byte order so that each goes on from the start it shares with the one before."""
@@ -297,6 +301,21 @@ class Encoder:
         self.hashes = merged[order]
         self.firsts = np.concatenate([self.firsts, firsts])[order]
         self.counts = np.concatenate([self.counts, counts])[order]
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        spell_firsts = len(self.spelled) + np.cumsum(sizes) - sizes
+        self.spelled = np.concatenate([self.spelled, np.frombuffer(b"".join(pieces), np.uint8)])
+        self.spell_firsts = np.concatenate([self.spell_firsts, spell_firsts])[order]
+        self.spell_sizes = np.concatenate([self.spell_sizes, sizes])[order]
+
+    def _misread(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes are not those remembered under their hash."""
+        wrong = (ends - begins) != self.spell_sizes[at]
+        same = np.flatnonzero(~wrong)
+        own, cuts = ragged(raw, begins, ends - begins, same)
+        held, _ = ragged(self.spelled, self.spell_firsts, self.spell_sizes, at[same])
+        differs = np.concatenate([[0], np.cumsum(own != held)])
+        wrong[same] = differs[cuts[1:]] != differs[cuts[:-1]]
+        return np.flatnonzero(wrong)
 
     def _plain(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts without special tokens one after another, and where each text's ids start."""
@@ -307,8 +326,9 @@ class Encoder:
         place = np.concatenate([[0], np.cumsum(wide)])
         data = "".join(parts).encode("utf-8", "replace")
         begins, ends = place[starts], place[np.append(starts[1:], len(codes))]
+        raw = np.frombuffer(data, np.uint8)
         hashes, first, which = np.unique(
-            spans_hash(np.frombuffer(data, np.uint8) + np.uint64(1), begins, ends), return_index=True, return_inverse=True
+            spans_hash(raw + np.uint64(1), begins, ends), return_index=True, return_inverse=True
         )
         at = np.searchsorted(self.hashes, hashes)
         new = np.ones(len(hashes), bool)
@@ -321,7 +341,19 @@ class Encoder:
                 self.forget()
                 self._learn(hashes, [data[begins[i] : ends[i]] for i in first.tolist()])
             at = np.searchsorted(self.hashes, hashes)
-        ids, bounds = ragged(self.ids, self.firsts, self.counts, at[which])
+        wrong = self._misread(raw, begins, ends, at[which])
+        firsts, counts, place, ids = self.firsts, self.counts, at[which], self.ids
+        if len(wrong):
+            alone = []
+            for i in wrong.tolist():
+                run = Transducer(self.v)
+                alone.append(run.feed(data[begins[i] : ends[i]]) + run.finish())
+            sizes_ = np.array([len(x) for x in alone], np.int64)
+            place[wrong] = len(firsts) + np.arange(len(wrong))
+            firsts = np.concatenate([firsts, len(ids) + np.cumsum(sizes_) - sizes_])
+            counts = np.concatenate([counts, sizes_])
+            ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(alone), np.uint32)])
+        ids, bounds = ragged(ids, firsts, counts, place)
         return ids.astype("<u4"), bounds[np.searchsorted(starts, sizes)]
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -9,6 +9,7 @@ import numpy as np
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C55
 _CHUNK = 1 << 18
+_BLOCK = 64
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -52,14 +53,35 @@ _powers = _Powers(_BASE)
 
 
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the values in each [start, end); equal runs get equal hashes wherever they stand."""
+    """Hash of the values in each [start, end); equal runs get equal hashes wherever they stand.
+
+    Up to ``_BLOCK`` values are a polynomial modulo 2^64, whose low bits patterns of two values cancel as they
+    grow longer. So longer runs are hashed in blocks from their start, and the blocks' hashes, mixed with their
+    numbers, are added.
+    """
     up, down = _powers.upto(len(values) + 1)
+    sizes = ends - starts
     with np.errstate(over="ignore"):
         sums = np.empty(len(values) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(values * up[: len(values)], out=sums[1:])
-        found = (sums[ends] - sums[starts]) * down[starts]
-        return mix(found + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+        def blocks(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+            found = (sums[last] - sums[first]) * down[first]
+            return mix(found + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+        if not len(sizes) or sizes.max() <= _BLOCK:
+            return blocks(starts, ends)
+        hashes = blocks(starts, np.minimum(ends, starts + _BLOCK))
+        long = np.flatnonzero(sizes > _BLOCK)
+        number = -(-sizes[long] // _BLOCK)
+        owner = np.repeat(long, number)
+        heads = np.cumsum(number) - number
+        nth = np.arange(len(owner)) - np.repeat(heads, number)
+        first = starts[owner] + nth * _BLOCK
+        parts = blocks(first, np.minimum(first + _BLOCK, ends[owner]))
+        hashes[long] = mix(np.add.reduceat(mix(parts ^ mix(nth.astype(np.uint64), 8)), heads), 9)
+        return hashes
 
 
 @dataclass
