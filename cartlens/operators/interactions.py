@@ -52,6 +52,17 @@ def interaction_matrix(
     return wide.na.fill(0.0, subset=list(names)).withColumnsRenamed(names)
 
 
+def interaction_rows(scores: DataFrame) -> DataFrame:
+    """The matrix as sparse rows: per user the products ascending and their scores, for a catalogue of any width.
+
+    A row is as long as the products its user met; products it lacks are 0.
+    """
+    cells = F.sort_array(F.collect_list(F.struct("product_id", "score")))
+    return scores.groupBy("user_id").agg(cells.alias("cells")).select(
+        "user_id", F.col("cells.product_id").alias("products"), F.col("cells.score").alias("scores")
+    )
+
+
 def interaction_profile(scores: DataFrame) -> DataFrame:
     """Size and sparsity of the matrix, from the pair table alone."""
     totals = scores.agg(

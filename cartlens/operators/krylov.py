@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from cartlens import constants as C
 from cartlens.session import cut_lineage, discard
 
-SPARE_COLUMNS = 10
+# Columns of a block beyond the directions asked for, and the fewest worth a pass over the cells.
+SPARE_COLUMNS, LEAST_COLUMNS = 10, 16
 # The subspace is cut back to its best block beyond this many columns, or five blocks if those are more.
-MOST_COLUMNS, MOST_BLOCKS = 256, 5
+MOST_COLUMNS, MOST_BLOCKS = 320, 5
 PASSES = 200
 # Length of a residual, as a share of the largest eigenvalue, at which a direction counts as found.
 TOLERANCE = 1e-9
@@ -55,53 +56,52 @@ def singular_vectors(
     fewer columns with cells than ``rank``, columns without cells complete the directions at strength zero.
     """
     cells = cut_lineage(cells, "cells")
+    most = max(rank + SPARE_COLUMNS, LEAST_COLUMNS)
     held = cells.select("code").distinct()
-    held = cut_lineage(held, "columns")
-    number = held.count()
-    width = min(number, rank + SPARE_COLUMNS)
+    few = sorted(r["code"] for r in held.limit(most + 1).collect())
+    number = len(few) if len(few) <= most else held.count()
+    width, asked, limit = min(number, most), min(rank, number), max(MOST_COLUMNS, MOST_BLOCKS * most)
+    held = held if len(few) <= most else cut_lineage(held, "columns")
     basis, kept = held.withColumns({"q": F.array().cast("array<double>"), "m": F.array().cast("array<double>")}), 0
-    block = _start(held, number, width)
-    values, errors, done = np.zeros(0), np.zeros(0), 0
-    most, stale = max(MOST_COLUMNS, MOST_BLOCKS * (rank + SPARE_COLUMNS)), None
+    block = _start(held, few, width)
+    wide, turn, values, errors, done, old = None, None, np.zeros(0), np.zeros(0), 0, None
     while width and done < passes:
         done += 1
         wide = _with_image(cells, basis, block)
+        if old is not None:
+            discard(old)
         size = kept + width
         overlap, product = _grams(wide, size)
         values, turn = _ritz(overlap, product)
         # Beyond the limit only the best block survives: the thick restart.
-        kept = min(len(values), rank + SPARE_COLUMNS) if size + width > most else len(values)
+        kept = min(len(values), most) if size + width > limit else len(values)
         values, turn = values[:kept], turn[:, :kept]
-        basis = _turned(wide, turn)
-        # The steps before are in the new basis; a lost task reads this one.
-        for old in (wide, stale):
-            if old is not None:
-                discard(old)
-        stale = basis
-        asked = min(kept, rank + SPARE_COLUMNS)
-        inner, cross = _residual_grams(basis, values, asked)
+        leading = min(kept, most)
+        inner, cross = _residual_grams(wide, turn, values, leading)
         errors = np.sqrt(np.diag(inner)) / max(values[0], np.finfo(float).tiny)
-        if kept >= number or (errors[: min(rank, number)] <= tolerance).all() and kept >= min(rank, number):
+        if kept >= asked and (errors[:asked] <= tolerance).all():
             break
         choice = _independent(inner, errors)
         if not choice.shape[1]:
             break  # nothing new in the residuals: the subspace is invariant
-        block, width = _next_block(basis, values, asked, cross, choice), choice.shape[1]
+        basis = cut_lineage(_turned(wide, turn), "ritz")
+        discard(wide)
+        old, turn = basis, None
+        block, width = _next_block(basis, values, leading, cross, choice), choice.shape[1]
     found = min(rank, len(values))
-    if found < min(rank, number) or (errors[:found] > tolerance).any():
+    if found < asked or (errors[:found] > tolerance).any():
         worst = float(errors[:found].max(initial=0.0))
         raise NotConverged(f"after {done} passes a residual of {worst:.1e} is left, {tolerance:.1e} asked")
-    vectors = _completed(basis, codes, held, found, rank)
+    own = basis if turn is None else _turned(wide, turn)
+    vectors = _completed(own, codes, held, found, rank)
     strengths = np.concatenate([np.sqrt(np.maximum(values[:found], 0)), np.zeros(rank - found)])
     return Singular(vectors, strengths, np.concatenate([errors[:found], np.zeros(rank - found)]), done)
 
 
-def _start(held: DataFrame, number: int, width: int) -> DataFrame:
+def _start(held: DataFrame, few: list[int], width: int) -> DataFrame:
     """``code, f_0 …``: all columns of a matrix that has no more than ``width``, else reproducible noise."""
-    if number <= width:
-        order = {r["code"]: i for i, r in enumerate(held.orderBy("code").collect())}  # ``width`` rows
-        place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("code")] if order else F.lit(0)
-        return held.select("code", *[(place == i).cast("double").alias(f"f_{i}") for i in range(width)])
+    if len(few) <= width:
+        return held.select("code", *[(F.col("code") == c).cast("double").alias(f"f_{i}") for i, c in enumerate(few)])
     noise = [
         (F.pmod(F.xxhash64("code", F.lit(C.SEED), F.lit(i)), F.lit(2_000_001)) / 1e6 - 1.0).alias(f"f_{i}")
         for i in range(width)
@@ -187,7 +187,7 @@ def _ritz(overlap: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _turned(wide: DataFrame, turn: np.ndarray) -> DataFrame:
-    """The basis in the directions found, written."""
+    """The basis in the directions found."""
     size = len(turn)
 
     def apply(found: Iterator) -> Iterator:
@@ -200,19 +200,19 @@ def _turned(wide: DataFrame, turn: np.ndarray) -> DataFrame:
                     [batch.column(0), *(pa.array(list(s), pa.list_(pa.float64())) for s in sides)], ["code", "q", "m"]
                 )
 
-    return cut_lineage(wide.mapInArrow(apply, _BASIS), "ritz")
+    return wide.mapInArrow(apply, _BASIS)
 
 
-def _residual_grams(basis: DataFrame, values: np.ndarray, asked: int) -> list[np.ndarray]:
-    """Inner products of the leading directions' residuals, and of the basis with them."""
-    size = len(values)
+def _residual_grams(wide: DataFrame, turn: np.ndarray, values: np.ndarray, leading: int) -> list[np.ndarray]:
+    """Inner products of the leading directions' residuals, and of all directions with them."""
+    size = len(turn)
 
     def make(batch):
-        q, m = _columns(batch, "q", size), _columns(batch, "m", size)
-        r = m[:, :asked] - q[:, :asked] * values[:asked]
+        q, m = _columns(batch, "q", size) @ turn, _columns(batch, "m", size) @ turn[:, :leading]
+        r = m - q[:, :leading] * values[:leading]
         return r.T @ r, q.T @ r
 
-    return _summed(basis, make, 2)
+    return _summed(wide, make, 2)
 
 
 def _independent(inner: np.ndarray, errors: np.ndarray) -> np.ndarray:
@@ -226,7 +226,7 @@ def _independent(inner: np.ndarray, errors: np.ndarray) -> np.ndarray:
     return turn
 
 
-def _next_block(basis: DataFrame, values: np.ndarray, asked: int, cross: np.ndarray, choice: np.ndarray) -> DataFrame:
+def _next_block(basis: DataFrame, values: np.ndarray, leading: int, cross: np.ndarray, choice: np.ndarray) -> DataFrame:
     """The residuals without what the basis already holds, in the columns of ``choice``."""
     size, width = len(values), choice.shape[1]
     names = [f"f_{i}" for i in range(width)]
@@ -237,7 +237,7 @@ def _next_block(basis: DataFrame, values: np.ndarray, asked: int, cross: np.ndar
         for batch in found:
             if batch.num_rows:
                 q, m = _columns(batch, "q", size), _columns(batch, "m", size)
-                r = (m[:, :asked] - q[:, :asked] * values[:asked] - q @ cross) @ choice
+                r = (m[:, :leading] - q[:, :leading] * values[:leading] - q @ cross) @ choice
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.ascontiguousarray(r.T))], ["code", *names])
 
     return basis.mapInArrow(apply, "code long, " + ", ".join(f"{n} double" for n in names))

@@ -550,10 +550,19 @@ from observed""",
     ),
 }
 
+ORACLES["interaction_rows"] = _with(
+    SCORES,
+    """
+select user_id, string_agg(cast(product_id as varchar), ',' order by product_id) as products,
+       count(*) as n_products, round(sum((product_id + 1) * score), 6) as by_product
+from scores group by user_id""",
+)
+
 # Ways of storing that must not change what is stored.
 ORACLES |= {
     "recommendations_stored": ORACLES["recommendations_upsert"],
     "predictions_marked_in_place": ORACLES["predictions_marked"],
     "segments_committed": ORACLES["segment_rollup"],
     "streamed_scores": ORACLES["interaction_scores"],
+    "daily_logs_since": ORACLES["behavior_logs_since"],
 }

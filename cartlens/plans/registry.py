@@ -21,13 +21,14 @@ from cartlens.plans.commits import CommitLog
 from cartlens.plans.tables import LoggedTable, Run
 from cartlens.session import cut_lineage, scratch_path, tune
 from cartlens import schemas
+from cartlens.sources.daily import read_daily, write_daily
 from cartlens.sources.sample import AS_OF, CATALOGUE_SIZE, RECENT_SINCE, offer_scores, sample_shop
 from cartlens.sources.tables import conform
 from cartlens.streaming.fresh_scores import absorb_new_logs, fresh_scores
 
 STAND_IN_CLUSTERS = 4
 # Directions of the offers' matrix, and the residual left, as a share of the largest squared strength.
-OFFER_RANK, OFFER_TOLERANCE = 4, 1e-6
+OFFER_RANK, OFFER_TOLERANCE = 4, 1e-5
 LOG_PARTS = 3
 _REGISTERED: dict[str, Callable[["Case"], DataFrame]] = {}
 
@@ -197,6 +198,14 @@ def behavior_logs_since(case):
     return I.behavior_logs(case.shop.behavior, RECENT_SINCE)
 
 
+@_query
+def daily_logs_since(case):
+    """The same days out of logs that are laid out by day."""
+    folder = scratch_path(case.spark, "daily")
+    write_daily(conform(case.shop.behavior, schemas.BEHAVIOR), folder)
+    return I.behavior_logs(read_daily(case.spark, folder, RECENT_SINCE))
+
+
 @_query
 def interaction_scores(case):
     return case.scores
@@ -207,6 +216,16 @@ def interaction_matrix(case):
     return I.interaction_matrix(case.scores, list(range(CATALOGUE_SIZE)))
 
 
+@_query
+def interaction_rows(case):
+    """Sparse rows; the sums by place show that scores stand at their products."""
+    rows = I.interaction_rows(case.scores)
+    by_place = F.aggregate(
+        F.zip_with("products", "scores", lambda p, s: (p + 1) * s), F.lit(0.0), lambda a, b: a + b
+    )
+    return rows.select("user_id", "products", F.size("products").alias("n_products"), by_place.alias("by_product"))
+
+
 @_query
 def interaction_profile(case):
     return I.interaction_profile(case.scores)

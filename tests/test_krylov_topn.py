@@ -41,6 +41,7 @@ def test_restarts_do_not_change_the_result(spark, monkeypatch):
     monkeypatch.setattr(krylov, "MOST_COLUMNS", 1)
     monkeypatch.setattr(krylov, "MOST_BLOCKS", 2)
     monkeypatch.setattr(krylov, "SPARE_COLUMNS", 6)
+    monkeypatch.setattr(krylov, "LEAST_COLUMNS", 9)
     fitted = CF.fit_reported(frame_of(spark, x), rank=3)
     v = vectors_of(fitted.table)
     right = np.linalg.svd(x)[2][:3]
