@@ -219,10 +219,11 @@ def similarity_recommendations(
     requested: DataFrame,
     top_n: int = C.HOMEPAGE_TOP_N,
     first: int = FIRST_PRODUCTS,
+    enough: int = C.MIN_INTERACTIONS,
 ) -> DataFrame:
     """Best unseen products of users with little history, by similarity to what they know.
 
-    ``requested`` holds distinct user ids. Unknown users and users without a
+    ``requested`` holds distinct user ids; those with ``enough`` products or more get no list. Unknown users and users without a
     positive score get products at score 0.
 
     A score is a weighted mean of the user's own scores, so none exceeds the highest of them, and equal scores go to
@@ -230,7 +231,7 @@ def similarity_recommendations(
     ever more: a list that is full of the highest score possible is final, and only the users without one
     meet the next range. Similarities are summed for those users' products and the range alone.
     """
-    practised = user_routing(scores).where(F.col("n_interacted") >= C.MIN_INTERACTIONS)
+    practised = user_routing(scores).where(F.col("n_interacted") >= enough)
     thin = requested.select("user_id").join(practised, "user_id", "left_anti")
     known = scores.where("score > 0").join(thin, "user_id", "left_semi")
     ranges = _id_ranges(scores, first)
@@ -257,7 +258,8 @@ def similarity_recommendations(
     entry = F.struct((-F.col("score")).alias("place"), "product_id", "score")
     listed = reduce(DataFrame.unionAll, finished).groupBy("user_id").agg(F.collect_list(entry).alias("listed"))
     seen = known.groupBy("user_id").agg(F.collect_list("product_id").alias("seen"))
-    return _filled(thin.join(seen, "user_id", "left").join(listed, "user_id", "left"), scores, top_n)
+    users = thin.join(seen, "user_id", "left").join(listed, "user_id", "left")
+    return _filled(users, scores, top_n, 2 * top_n + enough)
 
 
 def _id_ranges(scores: DataFrame, first: int) -> list[tuple[int | None, int | None]]:
@@ -298,14 +300,13 @@ def _lists_in_range(scores: DataFrame, known: DataFrame, low: int | None, high:
     )
 
 
-def _filled(users: DataFrame, scores: DataFrame, top_n: int) -> DataFrame:
+def _filled(users: DataFrame, scores: DataFrame, top_n: int, spare: int) -> DataFrame:
     """Lists of ``top_n`` rows from ``seen`` and ``listed``, the open places at score 0.
 
     The places go to the lowest ids neither seen nor listed. A thin user has
-    seen fewer than ``MIN_INTERACTIONS`` products and has at most ``top_n`` on
-    the list, so the first few ids of the catalogue hold every candidate.
+    seen only a few products and has at most ``top_n`` on the list, so the
+    first ``spare`` ids of the catalogue hold every candidate.
     """
-    spare = 2 * top_n + C.MIN_INTERACTIONS
     lowest = (
         scores.select("product_id").distinct().orderBy("product_id").limit(spare)
         .agg(F.sort_array(F.collect_list("product_id"))).scalar()

@@ -32,7 +32,6 @@ def _scores(name: str, source: str) -> str:
 
 
 SCORES = BEHAVIOR + "," + _scores("scores", "logs")
-RECENT = BEHAVIOR + "," + _scores("scores", "recent_logs")
 
 SHOP = """
 shop_orders as (
@@ -48,9 +47,9 @@ order_items as (
          l_partkey as tie_1, l_suppkey as tie_2
   from lineitem),
 products as (
-  select p_partkey as product_id, p_name as name, p_partkey % 2 = 0 as is_consumable,
-         case when p_partkey % 10 <> 0 then p_size * 10.0 end::double as weight_gram
-  from part where p_partkey < 25),
+  select p_partkey % 25 as product_id, arg_min(p_name, p_partkey) as name, min(p_partkey) % 2 = 0 as is_consumable,
+         case when min(p_partkey) % 10 <> 0 then arg_min(p_size, p_partkey) * 10.0 end::double as weight_gram
+  from part group by p_partkey % 25),
 users as (
   select c_custkey as user_id,
          case when c_mktsegment = 'MACHINERY' then 'staff' else 'customer' end as role,
@@ -119,7 +118,7 @@ similarity as (
   group by a.product_id, b.product_id),
 routing as (
   select user_id, count(*) filter (where score > 0) as n_interacted from scores group by user_id),
-thin as (select user_id from routing where n_interacted < 5)"""
+thin as (select user_id from routing where n_interacted < 24)"""
 
 
 def _lists(requested: str) -> str:
@@ -147,7 +146,7 @@ lists as (
   qualify rank <= 10)"""
 
 
-THIN_LISTS = RECENT + "," + SIMILARITY + "," + _lists("thin")
+THIN_LISTS = SCORES + "," + SIMILARITY + "," + _lists("thin")
 
 HOMEPAGE = """
 useful as (select user_id from lists group by user_id having max(abs(score)) > 0),
@@ -395,7 +394,7 @@ from subsets group by items having count(*) / (select n from total) >= 0.003""",
         THIN_LISTS, "select user_id, product_id, score, rank from lists"
     ),
     "homepage_thin_users": _with(
-        RECENT + "," + SHOP + "," + SIMILARITY + """,
+        SCORES + "," + SHOP + "," + SIMILARITY + """,
 requested as (
   select user_id from thin union all
   select user_id from users where user_id not in (select user_id from scores)),"""
@@ -403,7 +402,7 @@ requested as (
         "select user_id, product_id, round(score, 6) as score, rank, rec_type from homepage",
     ),
     "recommendations_upsert": _with(
-        RECENT + "," + SHOP + "," + SIMILARITY + ",\nrequested as (select user_id from thin),"
+        SCORES + "," + SHOP + "," + SIMILARITY + ",\nrequested as (select user_id from thin),"
         + _lists("requested") + "," + TRENDING + "," + HOMEPAGE + """,
 stored as (
   select user_id, product_id, score,

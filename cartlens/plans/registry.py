@@ -30,6 +30,8 @@ STAND_IN_CLUSTERS = 4
 # Directions of the offers' matrix, and the residual left, as a share of the largest squared strength.
 OFFER_RANK, OFFER_TOLERANCE = 4, 1e-5
 LOG_PARTS = 3
+# Users with fewer products count as having little history; the library's own limit would leave none here.
+THIN_BELOW = CATALOGUE_SIZE - 1
 _REGISTERED: dict[str, Callable[["Case"], DataFrame]] = {}
 
 
@@ -65,12 +67,6 @@ class Case:
         """The scores as a written table, for queries that read them many times."""
         return cut_lineage(self.scores, "scores")
 
-    @cached_property
-    def recent_scores(self) -> DataFrame:
-        """Written scores since a date, the only way users have little history here."""
-        recent = I.behavior_logs(self.shop.behavior, RECENT_SINCE)
-        return cut_lineage(I.interaction_scores(recent), "scores")
-
     @cached_property
     def lines(self) -> DataFrame:
         return B.order_items_delivered(self.shop.order_items, self.shop.orders)
@@ -146,12 +142,13 @@ class Case:
 
     @cached_property
     def thin_users(self) -> DataFrame:
-        routed = I.user_routing(self.recent_scores)
-        return routed.where(F.col("n_interacted") < C.MIN_INTERACTIONS).select("user_id")
+        """Users short of two products of the catalogue: every user of these logs knows more than a few."""
+        routed = I.user_routing(self.stored_scores)
+        return routed.where(F.col("n_interacted") < THIN_BELOW).select("user_id")
 
     @cached_property
     def thin_lists(self) -> DataFrame:
-        return CF.similarity_recommendations(self.recent_scores, self.thin_users)
+        return CF.similarity_recommendations(self.stored_scores, self.thin_users, enough=THIN_BELOW)
 
 
 def _query(make: Callable[[Case], DataFrame]):
@@ -364,15 +361,15 @@ def homepage_recommendations(case):
 @_query
 def homepage_thin_users(case):
     """Homepage lists of users with little history and of customers never seen in the logs."""
-    known = case.recent_scores.select("user_id").distinct()
+    known = case.stored_scores.select("user_id").distinct()
     strangers = case.shop.users.select("user_id").join(known, "user_id", "left_anti")
     users = case.thin_users.unionAll(strangers)
-    lists = CF.similarity_recommendations(case.recent_scores, users)
+    lists = CF.similarity_recommendations(case.stored_scores, users, enough=THIN_BELOW)
     return CF.with_best_sellers(users, lists, case.trending)
 
 
 def _stored_lists(case):
-    return case.recent_scores.select(
+    return case.stored_scores.select(
         "user_id",
         "product_id",
         "score",

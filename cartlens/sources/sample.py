@@ -82,15 +82,18 @@ def sample_shop(spark: SparkSession, folder: str) -> Shop:
         F.col("l_partkey").alias("tie_1"),
         F.col("l_suppkey").alias("tie_2"),
     )
-    part_id = F.col("p_partkey")
+    # A product stands for all parts of one remainder; its lowest part describes it.
+    lowest = F.min(F.struct("p_partkey", "p_name", "p_size")).alias("part")
+    part_id = F.col("part.p_partkey")
     products = (
         _table(spark, folder, "part")
-        .where(part_id < CATALOGUE_SIZE)
+        .groupBy((F.col("p_partkey") % CATALOGUE_SIZE).alias("product_id"))
+        .agg(lowest)
         .select(
-            part_id.alias("product_id"),
-            F.col("p_name").alias("name"),
+            "product_id",
+            F.col("part.p_name").alias("name"),
             (part_id % 2 == 0).alias("is_consumable"),
-            F.when(part_id % 10 != 0, F.col("p_size") * 10.0).alias("weight_gram"),
+            F.when(part_id % 10 != 0, F.col("part.p_size") * 10.0).alias("weight_gram"),
         )
     )
     user_id = F.col("c_custkey")
