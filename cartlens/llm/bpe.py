@@ -23,6 +23,7 @@ _CACHED_PIECES = 1 << 20
 _IDS_AT_ONCE = 1 << 14
 # Arrays over these characters take about 100 bytes each while they are split and looked up.
 _CHARS_AT_ONCE = 1 << 19
+_PIECES_COMPARED = 1 << 13
 
 # The endings that the vocabulary's pattern splits off after an apostrophe.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -310,11 +311,12 @@ class Encoder:
     def _misread(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Pieces whose bytes are not those remembered under their hash."""
         wrong = (ends - begins) != self.spell_sizes[at]
-        same = np.flatnonzero(~wrong)
-        own, cuts = ragged(raw, begins, ends - begins, same)
-        held, _ = ragged(self.spelled, self.spell_firsts, self.spell_sizes, at[same])
-        differs = np.concatenate([[0], np.cumsum(own != held)])
-        wrong[same] = differs[cuts[1:]] != differs[cuts[:-1]]
+        for first in range(0, len(at), _PIECES_COMPARED):
+            same = first + np.flatnonzero(~wrong[first : first + _PIECES_COMPARED])
+            own, cuts = ragged(raw, begins, ends - begins, same)
+            held, _ = ragged(self.spelled, self.spell_firsts, self.spell_sizes, at[same])
+            differs = np.concatenate([[0], np.cumsum(own != held)])
+            wrong[same] = differs[cuts[1:]] != differs[cuts[:-1]]
         return np.flatnonzero(wrong)
 
     def _plain(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
