@@ -20,12 +20,15 @@ ADD = 0.1
 CLUSTERED_SHARE = 2.0**-10
 FREQUENT_SHARE = 2.0**-20
 CLASSES = 32
-# Other words have a class by their ending.
+# Words start in a class by their ending; unseen ones and those below the frequent share stay there.
 ENDINGS = 32
 SWEEPS = 20
+# Sweeps over the corpus that put each frequent word outside the core where its neighbours want it.
+ASSIGN_SWEEPS = 2
 TRANSITION_ADD = 0.5
 _END = np.int64(-(1 << 63))
 _TEXT_BYTES = 4 << 20
+_HELD_PAIRS = 1 << 21
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,20 +94,83 @@ def _with_ends(symbols: np.ndarray, rows: np.ndarray, n: int, end: int) -> tuple
     return np.concatenate([[end], flat[:-1]]), flat, np.repeat(np.arange(n), counts + 1)
 
 
-def _pairs(found: Iterator[pa.RecordBatch], clustered: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Numbers of neighbouring symbols in the partition."""
-    size = len(clustered) + ENDINGS + 1
+def _pairs(found: Iterator[pa.RecordBatch], clustered: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Numbers of neighbouring classes in the partition; ``of`` gives the class of a symbol, the end's the last."""
+    size = int(of[-1]) + 1
     total = np.zeros(size * size, np.int64)
     for batch in batches(found):
         for a, b, raw, offsets in _slices(batch):
             hashes, ending, rows = tokens(raw, offsets)
-            before, now, _ = _with_ends(_symbols(hashes, ending, clustered), rows, b - a, size - 1)
-            keys, n = np.unique(before * size + now, return_counts=True)
+            before, now, _ = _with_ends(_symbols(hashes, ending, clustered), rows, b - a, len(of) - 1)
+            keys, n = np.unique(of[before].astype(np.int64) * size + of[now], return_counts=True)
             total[keys] += n
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
 
 
+def _neighbours(found: Iterator[pa.RecordBatch], words: np.ndarray, of: np.ndarray, core: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Classes after and (behind them) before each of ``words`` outside the core: place, class, n.
+
+    Numbers combine within the partition, and leave it whenever there are many.
+    """
+    kinds = int(of[-1]) + 1
+    free = np.concatenate([~core, np.zeros(ENDINGS + 1, bool)])
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def combined() -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*held))
+        found, which = np.unique(keys, return_inverse=True)
+        return found, np.bincount(which, n, len(found)).astype(np.int64)
+
+    def sent() -> pa.RecordBatch:
+        keys, n = held[0]
+        return pa.RecordBatch.from_arrays([pa.array(keys // (2 * kinds)), pa.array(keys % (2 * kinds)), pa.array(n)],
+                                          ["place", "kind", "n"])
+
+    for batch in batches(found):
+        for a, b, raw, offsets in _slices(batch):
+            hashes, ending, rows = tokens(raw, offsets)
+            before, now, _ = _with_ends(_symbols(hashes, ending, words), rows, b - a, len(of) - 1)
+            after, ahead = free[before], free[now]
+            keys = np.concatenate([
+                before[after] * (2 * kinds) + of[now[after]],
+                now[ahead] * (2 * kinds) + kinds + of[before[ahead]],
+            ])
+            held.append(np.unique(keys, return_counts=True))
+            waiting += len(held[-1][0])
+            if waiting >= _HELD_PAIRS:
+                held = [combined()]
+                waiting = len(held[0][0])
+                if waiting >= _HELD_PAIRS // 2:
+                    yield sent()
+                    held, waiting = [], 0
+    if waiting:
+        held = [combined()]
+        yield sent()
+
+
+def best_classes(numbers: np.ndarray, transition: np.ndarray, denominator: np.ndarray) -> np.ndarray:
+    """Class of each row of ``numbers[word, class after | class before]`` with the likeliest tokens.
+
+    The classes of the neighbours and the model stay as they are meanwhile. The lowest class among equals.
+    """
+    kinds = len(transition)
+    after, before = numbers[:, :kinds], numbers[:, kinds:]
+    gain = after @ transition.T + before @ transition - before.sum(axis=1, keepdims=True) * denominator
+    return np.argmax(np.round(gain[:, :-1], 9), axis=1)
+
+
+def _assigned(found: Iterator[pa.RecordBatch], transition: np.ndarray, denominator: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches(found):
+        lists = {c: batch.column(c) for c in ("kinds", "numbers")}
+        owner = np.repeat(np.arange(batch.num_rows), lists["kinds"].value_lengths().to_numpy(zero_copy_only=False))
+        numbers = np.zeros((batch.num_rows, 2 * len(transition)))
+        numbers[owner, lists["kinds"].flatten().to_numpy()] = lists["numbers"].flatten().to_numpy()
+        best = best_classes(numbers, transition, denominator)
+        yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(best)], ["place", "best"])
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
@@ -163,28 +229,46 @@ def exchange(pairs: np.ndarray, words: int, classes: int = CLASSES, sweeps: int
 
 @dataclass
 class ClassModel:
-    """``counts``: h, ending, n of every training token; the arrays are bounded whatever the corpus."""
+    """``counts``: h, ending, n of every training token; the arrays are bounded whatever the corpus.
+
+    ``words`` are the frequent words in the order of their hashes, ``words_n`` their numbers. ``of`` holds the class
+    of each of them, then of each ending, then of the end.
+    """
 
     counts: DataFrame
     tokens: int
     distinct: int
-    clustered: np.ndarray
+    words: np.ndarray
+    words_n: np.ndarray
     of: np.ndarray
     transition: np.ndarray
     denominator: np.ndarray
-    frequent: np.ndarray
-    frequent_n: np.ndarray
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(remainder("doc_id", FOLDS) != HELD_OUT).select(whole().alias("text"))
 
 
-def fit_classes(docs: DataFrame, classes: int = CLASSES) -> ClassModel:
+def _met(rows: DataFrame, words: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """``[previous, current]`` numbers of neighbouring classes."""
+    size = int(of[-1]) + 1
+    met = rows.mapInArrow(lambda found: _pairs(found, words, of), "pair long, n long")
+    met = met.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    pairs = np.zeros(size * size)
+    pairs[met["pair"].to_numpy(np.int64)] = met["n"]
+    return pairs.reshape(size, size)
+
+
+def fit_classes(docs: DataFrame, classes: int = CLASSES, sweeps: int = ASSIGN_SWEEPS) -> ClassModel:
     """Learn from ``doc_id, text``: counts of all tokens, classes, and how classes follow one another.
 
-    Numbers of words combine within tasks before the shuffle and stay a table. The driver gets only the words
-    above a share of all tokens (2^20 at most) and the neighbours of the clustered ones (1,057 squared at most).
+    1. Numbers of words combine within tasks before the shuffle and stay a table. The driver gets only the words
+       above a share of all tokens (2^20 at most).
+    2. The core, words above a larger share (2^10 at most), is clustered by exchange on the numbers of its
+       neighbours (1,057 squared at most).
+    3. Every other frequent word is then exchanged by tasks: the classes around it are counted over the whole corpus,
+       grouped by word, and it goes to the class, of the core's or of an ending, that makes its tokens likeliest.
+       The next sweep counts with the classes of the one before.
     """
     rows = training_rows(docs)
     counts = rows.mapInArrow(_count, "h long, ending long, n long")
@@ -193,51 +277,67 @@ def fit_classes(docs: DataFrame, classes: int = CLASSES) -> ClassModel:
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] or 0, total["v"]
     known = counts.where(F.col("n") >= max(1.0, FREQUENT_SHARE * n)).toPandas().sort_values("h")
-    words = known[known["h"] != _END]
-    clustered = words[words["n"] >= CLUSTERED_SHARE * n]
-    hashes = clustered["h"].to_numpy(np.int64)
-    size = len(hashes) + ENDINGS + 1
-    met = rows.mapInArrow(lambda found: _pairs(found, hashes), "pair long, n long")
-    met = met.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    pairs = np.zeros(size * size)
-    pairs[met["pair"].to_numpy(np.int64)] = met["n"]
-    pairs = pairs.reshape(size, size)
-    of = exchange(pairs, len(hashes), classes)
+    known = known[known["h"] != _END]
+    words, words_n, endings = (known[c].to_numpy(np.int64) for c in ("h", "n", "ending"))
+    core = words_n >= CLUSTERED_SHARE * n
     kinds = classes + ENDINGS + 1
-    member = np.zeros((size, kinds))
-    member[np.arange(size), of] = 1
-    grid = member.T @ pairs @ member
-    transition = np.log10((grid + TRANSITION_ADD) / (grid.sum(axis=1, keepdims=True) + TRANSITION_ADD * kinds))
-    # Tokens and distinct words of each class; those of the endings without the clustered words.
-    held, sorts = np.zeros(kinds), np.zeros(kinds)
-    np.add.at(held, of[: len(hashes)], clustered["n"].to_numpy(float))
-    np.add.at(sorts, of[: len(hashes)], 1)
+    # The symbols of the exchange: words of the core, endings, the end.
+    pairs = _met(rows, words[core], np.arange(int(core.sum()) + ENDINGS + 1, dtype=np.int32))
+    of = np.arange(len(words) + ENDINGS + 1, dtype=np.int32) - len(words) + classes
+    of[: len(words)] = classes + endings
+    of[: len(words)][core] = exchange(pairs, int(core.sum()), classes)[: int(core.sum())]
+    # Tokens and distinct words of each ending, less those of the frequent words.
+    rest = np.zeros((2, ENDINGS))
     other = counts.where(F.col("h") != int(_END)).groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v"))
     for r in other.collect():
-        own = (clustered["ending"] == r["ending"]).to_numpy()
-        held[classes + r["ending"]] = r["n"] - clustered["n"].to_numpy()[own].sum()
-        sorts[classes + r["ending"]] = r["v"] - own.sum()
-    denominator = np.log10(held + ADD * (sorts + 1))
-    return ClassModel(
-        counts, n, v, hashes, of, transition, denominator, words["h"].to_numpy(np.int64), words["n"].to_numpy(float)
-    )
+        rest[:, r["ending"]] = r["n"], r["v"]
+    np.subtract.at(rest[0], endings, words_n)
+    np.subtract.at(rest[1], endings, 1)
+
+    def model() -> tuple[np.ndarray, np.ndarray]:
+        grid = _met(rows, words, of)
+        transition = np.log10((grid + TRANSITION_ADD) / (grid.sum(axis=1, keepdims=True) + TRANSITION_ADD * kinds))
+        held, sorts = np.zeros(kinds), np.zeros(kinds)
+        held[classes:-1], sorts[classes:-1] = rest
+        np.add.at(held, of[: len(words)], words_n)
+        np.add.at(sorts, of[: len(words)], 1)
+        return transition, np.log10(held + ADD * (sorts + 1))
+
+    transition, denominator = model()
+    for _ in range(sweeps if not core.all() else 0):
+        around = rows.mapInArrow(
+            lambda found, of=of: _neighbours(found, words, of, core), "place long, kind long, n long"
+        )
+        around = around.groupBy("place", "kind").agg(F.sum("n").alias("n"))
+        # At most two numbers a class for each word.
+        around = around.groupBy("place").agg(F.collect_list(F.struct("kind", "n")).alias("met"))
+        around = around.select("place", F.col("met.kind").alias("kinds"), F.col("met.n").alias("numbers"))
+        best = around.mapInArrow(
+            lambda found, t=transition, d=denominator: _assigned(found, t, d), "place long, best long"
+        ).toPandas()
+        moved = of.copy()
+        moved[best["place"].to_numpy(np.int64)] = best["best"]
+        if (moved == of).all():
+            break
+        of = moved
+        transition, denominator = model()
+    return ClassModel(counts, n, v, words, words_n, of, transition, denominator)
 
 
 def _score(found: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
     """Per text all that bounded tables tell, and the words whose number has to be looked up."""
-    size = len(model["clustered"]) + ENDINGS + 1
+    end = len(model["of"]) - 1
     for batch in batches(found):
         for a, b, raw, offsets in _slices(batch):
             n = b - a
             hashes, ending, rows = tokens(raw, offsets)
-            before, now, at = _with_ends(_symbols(hashes, ending, model["clustered"]), rows, n, size - 1)
+            symbols = _symbols(hashes, ending, model["words"])
+            before, now, at = _with_ends(symbols, rows, n, end)
             before, now = model["of"][before], model["of"][now]
             score = np.bincount(at, model["transition"][before, now], n)
-            kinds = now[now != model["of"][size - 1]]  # of the words, in their order
-            place = np.searchsorted(model["frequent"], hashes)
-            place[place == len(model["frequent"])] = 0
-            hit = model["frequent"][place] == hashes if len(model["frequent"]) else np.zeros(len(hashes), bool)
-            number = np.log10(model["frequent_n"][place[hit]] + ADD)
+            kinds = now[now != model["of"][end]]  # of the words, in their order
+            hit = symbols < len(model["words"])
+            number = np.log10(model["words_n"][symbols[hit]] + ADD)
             known = np.bincount(rows[hit], number, n)
             score += known - np.bincount(rows, model["denominator"][kinds], n)
             count = np.bincount(rows, minlength=n)
@@ -265,8 +365,8 @@ def score_texts(docs: DataFrame, model: ClassModel) -> DataFrame:
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast({
-        "clustered": model.clustered, "of": model.of, "transition": model.transition,
-        "denominator": model.denominator, "frequent": model.frequent, "frequent_n": model.frequent_n,
+        "words": model.words, "words_n": model.words_n, "of": model.of,
+        "transition": model.transition, "denominator": model.denominator,
         "ends": float((model.counts.where(F.col("h") == int(_END)).agg(F.sum("n")).first()[0]) or 0),
         "all": model.tokens + ADD * (model.distinct + 1),
     })

@@ -365,6 +365,63 @@ def test_brown(spark, docs, nothing):
     assert brown.score_texts(docs, brown.fit_classes(nothing)).count() == len(ROWS)
 
 
+def test_brown_scores_by_its_classes(spark, docs):
+    """Every frequent word is in the class that its neighbours ask for; scores are those of the classes, token by token."""
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    tokens = {i: [x.translate(low) for x in _words(t)] for i, t, *_ in ROWS}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 10]
+    fitted = brown.fit_classes(docs, sweeps=1)
+    start = brown.fit_classes(docs, sweeps=0)
+    raw = np.frombuffer(b" ".join(sorted({x for t in tokens.values() for x in t})), np.uint8)
+    hashes, ending, _ = brown.tokens(raw, np.array([0, len(raw)]))
+    ids = dict(zip(sorted({x for t in tokens.values() for x in t}), zip(hashes.tolist(), ending.tolist())))
+    place = {h: k for k, h in enumerate(fitted.words.tolist())}
+    end = brown.CLASSES + brown.ENDINGS
+
+    def model(of):
+        kind = {x: int(of[place[h]]) if h in place else brown.CLASSES + e for x, (h, e) in ids.items()}
+        grid, count, held, sorts = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+        for i in train:
+            path = [end, *[kind[x] for x in tokens[i]], end]
+            grid.update(zip(path, path[1:]))
+            count.update(tokens[i])
+        for x, n in count.items():
+            held[kind[x]] += n
+            sorts[kind[x]] += 1
+        out = collections.Counter()
+        for (a, _), n in grid.items():
+            out[a] += n
+        step = lambda a, b: math.log10((grid[a, b] + 0.5) / (out[a] + 0.5 * (end + 1)))
+        emit = lambda x: math.log10((count[x] + 0.1) / (held[kind[x]] + 0.1 * (sorts[kind[x]] + 1)))
+        weight = lambda k: math.log10(held[k] + 0.1 * (sorts[k] + 1))
+        return kind, count, step, emit, weight
+
+    kind, count, step, emit, _ = model(fitted.of)
+    got = _by_id(brown.score_texts(docs, fitted))
+    for i, t in tokens.items():
+        path = [end, *[kind[x] for x in t], end]
+        score = sum(step(a, b) for a, b in zip(path, path[1:])) + sum(emit(x) for x in t)
+        assert math.isclose(got[i].score, score, rel_tol=1e-9, abs_tol=1e-9)
+    # The sweep, word by word, from the classes before it.
+    kind, count, step, _, weight = model(start.of)
+    around = collections.defaultdict(list)
+    for i in train:
+        path = [end, *[kind[x] for x in tokens[i]], end]
+        for k, x in enumerate(tokens[i], 1):
+            around[x].append((path[k - 1], path[k + 1]))
+    moved = 0
+    for x, n in count.items():
+        at = place[ids[x][0]]
+        if n >= brown.CLUSTERED_SHARE * fitted.tokens:
+            assert fitted.of[at] == start.of[at] < brown.CLASSES
+            continue
+        gains = [sum(step(a, c) + step(c, b) for a, b in around[x]) - n * weight(c) for c in range(end)]
+        assert gains[fitted.of[at]] >= max(gains) - 1e-6
+        moved += fitted.of[at] != start.of[at]
+    assert moved > 10
+    assert set(fitted.words.tolist()) == {ids[x][0] for x in count}
+
+
 def test_exchange_ends_where_no_single_move_helps():
     rng = np.random.default_rng(4)
     kind = rng.integers(0, 3, size=12)
