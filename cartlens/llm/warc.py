@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartlens.llm.base import prepare, scaled_partitions, whole
+from cartlens.operators.ranks import RANGES, running_total
 from cartlens.session import cut_lineage
 
 FILE_BYTES = 16 << 20
@@ -25,7 +26,8 @@ SHARD_BYTES = 64 << 20
 MIN_REVISIT_BYTES = 0
 # Every record carries this date unless the caller has another.
 RECORD_DATE = "2020-01-01T00:00:00Z"
-_CELLS = 4096
+# Keys summed by one task.
+_RANGE_ROWS = 5_000_000
 _LEVEL = 6
 _READ_BYTES = 1 << 20
 
@@ -115,31 +117,15 @@ def packed(data: bytes) -> bytes:
 def shard_bounds(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
     """Keys at which a new shard starts, from the sizes alone: ``key, bytes`` give the same bounds in any layout.
 
-    The keys' range is cut into ``4096`` cells and whole cells are filled into shards; cells too large for a
-    shard are cut again, until a cell is a single key.
+    A key belongs to the shard its bytes begin in, counted from the smallest key on. The running sum is taken in
+    ranges of keys, in a number of jobs that does not depend on the number of shards; the driver gets a number
+    per shard.
     """
-    edge = rows.agg(F.min("key"), F.max("key")).first()
-    if edge[0] is None:
-        return []
-    cells, todo = [], [(edge[0], edge[1] + 1)]
-    while todo:
-        low, high = todo.pop()
-        width = max(1, -(-(high - low) // _CELLS))
-        cell = F.floor((F.col("key").cast("decimal(38,0)") - F.lit(low)) / F.lit(width)).cast("long").alias("cell")
-        part = rows.where((F.col("key") >= low) & (F.col("key") <= high - 1))
-        for r in part.groupBy(cell).agg(F.sum("bytes").alias("n")).collect():  # 4096 cells at most
-            start = low + r["cell"] * width
-            if r["n"] > shard_bytes and width > 1:
-                todo.append((start, min(high, start + width)))
-            else:
-                cells.append((start, r["n"]))
-    bounds, held = [], shard_bytes
-    for start, n in sorted(cells):
-        if held + n > shard_bytes:
-            bounds.append(start)
-            held = 0
-        held += n
-    return bounds
+    keys = rows.groupBy("key").agg(F.sum("bytes").alias("bytes"))
+    ranges = max(RANGES, -(-rows.count() // _RANGE_ROWS))
+    begins = F.floor((F.col("running") - F.col("bytes")) / F.lit(shard_bytes))
+    firsts = running_total(keys, "key", "bytes", ranges).groupBy(begins.alias("shard")).agg(F.min("key").alias("key"))
+    return sorted(r["key"] for r in firsts.collect())
 
 
 class Store:
@@ -237,7 +223,8 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = MIN_REVISIT_BYT
     Records are ordered by page_id over all shards (pages without one by a hash of address and payload). Which
     record stands in which file depends on the rows alone, not on their layout or the cluster. Each file is
     written under a temporary name with its attempt and renamed when whole; a file counts once the manifest
-    names it, which is written last. ``folder`` is one all executors share. No rows give an empty manifest.
+    names it, which is written last, as Parquet in ``manifest`` beside the files. ``folder`` is one all executors
+    share. No rows give an empty manifest.
     """
     spark = pages.sparkSession
     sizes = pages.select(_key(), (F.octet_length(whole("html")) + 600).cast("long").alias("bytes"))
@@ -256,15 +243,15 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = MIN_REVISIT_BYT
     body = whole("html")
     rows = pages.select(_key(), "page_id", "url", F.sha2(body, 256).alias("same"), body.alias("payload"))
     rows = rows.unionByName(revisits(pages, least_bytes), allowMissingColumns=True)
-    rows = rows.withColumn("shard", shard("key")).repartition(parts, "shard")
+    rows = rows.withColumn("shard", shard("key")).repartitionById(parts, "shard")  # one task a shard
     rows = rows.sortWithinPartitions("shard", "key", "page_id", "same", F.col("payload").isNotNull(), "url")
     # As text: pandas would turn numbers among nulls into floats, which round ids above 2^53.
     rows = rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
-    out = rows.mapInPandas(
-        lambda found: _write(found, folder, file_bytes, date),
-        "file string, shard int, records long, bytes long, sha256 string",
-    )
-    return cut_lineage(out, "warc-manifest")
+    columns = "file string, shard int, records long, bytes long, sha256 string"
+    out = rows.mapInPandas(lambda found: _write(found, folder, file_bytes, date), columns)
+    manifest = posixpath.join(folder, "manifest")
+    out.write.mode("overwrite").parquet(manifest)
+    return spark.read.schema(columns).parquet(manifest)
 
 
 def read_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
