@@ -122,7 +122,11 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _resolve(found: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Finish texts whose windows are all decided; hand out the words of the passages that are not."""
+    """Finish texts whose windows are all decided; hand out the words of the passages that are not.
+
+    Of rows with the same id and text the first of the task speaks for all.
+    """
+    spoken: set[tuple] = set()
     for batch in batches(found):
         for a, b, raw, offsets in _slices(batch):
             words = WD.split(raw, offsets)
@@ -139,6 +143,9 @@ def _resolve(found: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
                 text = raw[offsets[i] : offsets[i + 1]].tobytes().decode()
                 rows.append((_OPEN, ids[i], bodies[i], None, None, None, text,
                              [s for s, _ in covers], [w for _, w in covers], None, None, None))
+                if (ids[i], bodies[i]) in spoken:
+                    continue
+                spoken.add((ids[i], bodies[i]))
                 low = int(words.bounds[i])
                 for start, number, anchor, state in rest:
                     own = words.hashes[low + start : low + start + number + window - 1]
@@ -157,6 +164,8 @@ def _resolve(found: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
 
 def _repeated(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     """Windows of a shard's passages that start in a document with a smaller id, as runs."""
+    # What several tasks say of rows with the same id and text.
+    pdf = pdf.drop_duplicates(["key", "place", "unnamed", "body", "start"])
     passages = [np.frombuffer(x, np.int64) for x in pdf["words"]]
     # Words as small numbers from 1.
     flat = np.concatenate(passages)
@@ -243,7 +252,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
         shared.where("not mixed").where(F.col("first") < F.col("place")).select(*columns, F.lit(_COVERED).alias("state"))
     )
     part = F.struct("start", "windows", "anchor", "state")
-    by_text = decided.groupBy("doc_id", "body").agg(F.collect_list(part).alias("parts"))
+    by_text = decided.groupBy("doc_id", "body").agg(F.collect_set(part).alias("parts"))
     by_text = by_text.select(
         F.col("doc_id").alias("d"), F.col("body").alias("b"), F.col("parts.start").alias("starts"),
         F.col("parts.windows").alias("windows"), F.col("parts.anchor").alias("anchors"), F.col("parts.state").alias("states"),
@@ -268,7 +277,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     firsts = firsts.where(F.col("first") < F.col("last")).select("key", "first")
     hits = single.join(firsts, "key").where(F.col("first") < F.col("place"))
     covers = covers.unionByName(hits.select("doc_id", "body", "start", F.lit(1).cast("int").alias("windows")))
-    more = covers.groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "windows")).alias("parts"))
+    more = covers.groupBy("doc_id", "body").agg(F.collect_set(F.struct("start", "windows")).alias("parts"))
     more = more.select(
         F.col("doc_id").alias("d"), F.col("body").alias("b"),
         F.col("parts.start").alias("more_starts"), F.col("parts.windows").alias("more_windows"),

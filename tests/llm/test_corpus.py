@@ -298,6 +298,19 @@ def _pages(spark):
     return spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, key int"), rows
 
 
+def test_substring_with_many_rows_alike(spark):
+    """Rows without an id that repeat one text cost no more than their number."""
+    rng = random.Random(12)
+    text = [f"v{rng.randrange(5000)}" for _ in range(2000)]
+    body = " ".join(text)
+    mixed = " ".join([*text[:700], "other", *text[900:1500], *[f"u{k}" for k in range(40)]])
+    rows = [(None, body)] * 3000 + [(7, mixed)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = substring.repeated_passages(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    covered = 700 + 600
+    assert {tuple(r) for r in got} == {(None, 2000, covered, 3000), (7, len(mixed.split()), 0, 1)}
+
+
 def test_warc(spark):
     pages, rows = _pages(spark)
     files = []
@@ -318,6 +331,37 @@ def test_warc(spark):
     assert warc.read_warc(spark, warc.write_warc(pages.limit(0), folder), folder).count() == 0
 
 
+def test_warc_writes_its_manifest_beside_the_files(spark):
+    pages, _ = _pages(spark)
+    folder = scratch_path(spark, "warc")
+    manifest = warc.write_warc(pages, folder, shard_bytes=4000, file_bytes=900)
+    assert sorted(map(tuple, spark.read.parquet(folder + "/manifest").collect())) == sorted(map(tuple, manifest.collect()))
+
+
+def test_warc_bounds_take_as_many_jobs_for_many_shards_as_for_few(spark):
+    rng = random.Random(8)
+    sizes = [(k * k - 10**9 * (k % 3), rng.choice([1, 40, 100, 900])) for k in range(10_000)]
+    sizes += [(sizes[5][0], 70)] * 3
+    rows = spark.createDataFrame(sizes, "key long, bytes long").repartition(5)
+    of = collections.Counter()
+    for key, n in sizes:
+        of[key] += n
+    jobs = []
+    for shard_bytes in (20, 2_000_000):
+        running, want, last = 0, [], None
+        for key in sorted(of):
+            if running // shard_bytes != last:
+                last = running // shard_bytes
+                want.append(key)
+            running += of[key]
+        spark.sparkContext.setJobGroup(f"bounds-{shard_bytes}", "bounds")
+        assert warc.shard_bounds(rows, shard_bytes) == want
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"bounds-{shard_bytes}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+    assert warc.shard_bounds(rows.limit(0)) == []
+
+
 def test_warc_keeps_ids_exact(spark):
     top = (1 << 63) - 1
     rows = [(top - 2, "a", "<p>1"), (top, "b", "<p>1"), (None, "c", "<p>1"), (top - 1, "d", "<p>2"), (-top, "e", "<p>2"), (None, "f", "<p>3")]
