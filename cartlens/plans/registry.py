@@ -514,6 +514,17 @@ def repurchase_predictions(case):
     return R.due_dates(model.transform(case.serving), AS_OF, "prediction", confidence)
 
 
+@_query
+def repurchase_forest_depths(case):
+    return TR.compare_depths(case.training)
+
+
+@_query
+def repurchase_full_predictions(case):
+    predicted, confidence = TR.full_forest_days(case.training, case.serving)
+    return R.due_dates(predicted, AS_OF, "prediction", confidence)
+
+
 @_query
 def repurchase_due_dates(case):
     return case.predictions

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cartlens import constants as C
 from cartlens.operators import baskets as B
 from cartlens.operators import collaborative as CF
+from cartlens.operators import forest as FO
 from cartlens.operators import interactions as I
 from cartlens.operators import repurchase as R
 from cartlens.operators import segments as S
@@ -275,6 +276,30 @@ def evaluate_forest(features: DataFrame, **forest) -> tuple[PipelineModel, DataF
     return model, metrics
 
 
+def fit_full(train: DataFrame, max_depth: int | None = None, trees: int = C.FOREST_TREES) -> FO.Forest:
+    """Forest of trees as deep as the rows allow, drawn by line key; its trees are a table."""
+    return FO.fit_full_forest(train, R.MODEL_FEATURES, "days_between", R.LINE_KEY, trees, C.SEED, max_depth)
+
+
+def compare_depths(features: DataFrame, depths: tuple = (10, 30, None), trees: int = C.FOREST_TREES) -> DataFrame:
+    """``depth, mae_days, r2_score, n_test, confidence`` on the test rows, for each bound on depth and none (null)."""
+    rows = cut_lineage(R.split_rows(features), "split")
+    train, test = rows.where(~F.col("is_test")), rows.where("is_test")
+    found = [
+        R.model_metrics(FO.predict(fit_full(train, depth, trees), test)).select(F.lit(depth).cast("int").alias("depth"), "*")
+        for depth in depths
+    ]
+    return reduce(DataFrame.unionAll, found)
+
+
+def full_forest_days(features: DataFrame, serving: DataFrame, trees: int = C.FOREST_TREES) -> tuple[DataFrame, float]:
+    """``serving`` with the days a full-grown forest predicts, and the confidence measured on the test rows."""
+    rows = cut_lineage(R.split_rows(features), "split")
+    forest = fit_full(rows.where(~F.col("is_test")), trees=trees)
+    confidence = R.model_metrics(FO.predict(forest, rows.where("is_test"))).first()["confidence"]
+    return FO.predict(forest, serving), confidence
+
+
 def run_all(
     shop: Shop,
     results: Results,

@@ -13,6 +13,8 @@ PLANNED_WITHOUT_SQL = {
     "homepage_recommendations",
     "offer_recommendations",
     "offer_strengths",
+    "repurchase_forest_depths",
+    "repurchase_full_predictions",
     "repurchase_model_metrics",
     "repurchase_predictions",
     "silhouette_sweep",
