@@ -308,8 +308,8 @@ def fit_classes(docs: DataFrame, classes: int = CLASSES, sweeps: int = ASSIGN_SW
         around = rows.mapInArrow(
             lambda found, of=of: _neighbours(found, words, of, core), "place long, kind long, n long"
         )
-        around = around.groupBy("place", "kind").agg(F.sum("n").alias("n"))
-        # At most two numbers a class for each word.
+        # Combined within tasks already, at most two numbers a class and task for each word: one shuffle does.
+        around = around.repartition("place").groupBy("place", "kind").agg(F.sum("n").alias("n"))
         around = around.groupBy("place").agg(F.collect_list(F.struct("kind", "n")).alias("met"))
         around = around.select("place", F.col("met.kind").alias("kinds"), F.col("met.n").alias("numbers"))
         best = around.mapInArrow(
