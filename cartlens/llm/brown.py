@@ -294,8 +294,7 @@ def fit_classes(docs: DataFrame, classes: int = CLASSES, sweeps: int = ASSIGN_SW
     np.subtract.at(rest[0], endings, words_n)
     np.subtract.at(rest[1], endings, 1)
 
-    def model() -> tuple[np.ndarray, np.ndarray]:
-        grid = _met(rows, words, of)
+    def model(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         transition = np.log10((grid + TRANSITION_ADD) / (grid.sum(axis=1, keepdims=True) + TRANSITION_ADD * kinds))
         held, sorts = np.zeros(kinds), np.zeros(kinds)
         held[classes:-1], sorts[classes:-1] = rest
@@ -303,7 +302,10 @@ def fit_classes(docs: DataFrame, classes: int = CLASSES, sweeps: int = ASSIGN_SW
         np.add.at(sorts, of[: len(words)], 1)
         return transition, np.log10(held + ADD * (sorts + 1))
 
-    transition, denominator = model()
+    # Outside the core every word is still with its ending, so the core's numbers give the first model.
+    member = np.zeros((len(pairs), kinds))
+    member[np.arange(len(pairs)), np.concatenate([of[: len(words)][core], np.arange(classes, kinds)])] = 1
+    transition, denominator = model(member.T @ pairs @ member)
     for _ in range(sweeps if not core.all() else 0):
         around = rows.mapInArrow(
             lambda found, of=of: _neighbours(found, words, of, core), "place long, kind long, n long"
@@ -320,7 +322,7 @@ def fit_classes(docs: DataFrame, classes: int = CLASSES, sweeps: int = ASSIGN_SW
         if (moved == of).all():
             break
         of = moved
-        transition, denominator = model()
+        transition, denominator = model(_met(rows, words, of))
     return ClassModel(counts, n, v, words, words_n, of, transition, denominator)
 
 
