@@ -16,7 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_JUDGED = 20_000
-_CELLS_AT_ONCE = 1 << 22
+# Distances held at once: judged points by points of a batch, few enough for a core's own cache.
+_JUDGED_AT_ONCE, _POINTS_AT_ONCE = 16, 2000
+# Tasks per core, so that none ends long after the others.
+_TASKS_PER_CORE = 4
 
 
 def silhouettes(vectors: DataFrame, models: dict, most_judged: int = MOST_JUDGED) -> dict[int, float]:
@@ -65,20 +68,27 @@ def _distance_sums(points: DataFrame, asked: np.ndarray, firsts: np.ndarray) ->
             member = np.zeros((n, width))
             for i, first in enumerate(firsts[:-1]):
                 member[np.arange(n), first + labels[:, i]] = 1
-            step = max(1, _CELLS_AT_ONCE // n)
-            for at in range(0, len(own), step):
-                squares = np.zeros((len(own[at : at + step]), n))
-                for d in range(own.shape[1]):
-                    # Differences, not products of lengths: equal points are at distance 0 exactly.
-                    squares += (own[at : at + step, d, None] - x[None, :, d]) ** 2
-                total[at : at + step] += np.sqrt(squares) @ member
+            for first in range(0, n, _POINTS_AT_ONCE):
+                points_at = np.ascontiguousarray(x[first : first + _POINTS_AT_ONCE].T)
+                members = member[first : first + _POINTS_AT_ONCE]
+                for at in range(0, len(own), _JUDGED_AT_ONCE):
+                    judged_at = own[at : at + _JUDGED_AT_ONCE]
+                    squares = np.zeros((len(judged_at), len(members)))
+                    side = np.empty_like(squares)
+                    for d in range(own.shape[1]):
+                        # Differences, not products of lengths: equal points are at distance 0 exactly.
+                        np.subtract(judged_at[:, d, None], points_at[d], out=side)
+                        np.multiply(side, side, out=side)
+                        np.add(squares, side, out=squares)
+                    total[at : at + _JUDGED_AT_ONCE] += np.sqrt(squares, out=squares) @ members
         for at in range(0, len(total), 1000):
             rows = total[at : at + 1000]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(rows))), *map(pa.array, np.ascontiguousarray(rows.T))],
                                              ["row", *names])
 
     names = [f"s_{i}" for i in range(width)]
-    parts = points.select("x", "labels").mapInArrow(partial, "row long, " + ", ".join(f"{n} double" for n in names))
+    tasks = _TASKS_PER_CORE * points.sparkSession.sparkContext.defaultParallelism
+    parts = points.select("x", "labels").repartition(tasks).mapInArrow(partial, "row long, " + ", ".join(f"{n} double" for n in names))
     out = np.zeros((len(asked), width))
     for row in parts.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).collect():  # ``MOST_JUDGED`` rows
         out[row["row"]] = row[1:]

@@ -103,6 +103,14 @@ def test_silhouette_matches_numpy(clustered):
         assert found[k] == pytest.approx(_silhouette(x, np.array([r["prediction"] for r in rows])), abs=1e-9)
 
 
+def test_distances_by_small_tiles(clustered, monkeypatch):
+    vectors, models = clustered
+    whole = silhouettes(vectors, models)
+    monkeypatch.setattr("cartlens.operators.silhouette._JUDGED_AT_ONCE", 3)
+    monkeypatch.setattr("cartlens.operators.silhouette._POINTS_AT_ONCE", 7)
+    assert silhouettes(vectors.coalesce(1), models) == pytest.approx(whole, abs=1e-12)
+
+
 def test_a_sample_is_judged_against_all(clustered):
     vectors, models = clustered
     some, whole = silhouettes(vectors, models, most_judged=40), silhouettes(vectors, models)
