@@ -100,44 +100,61 @@ def grow(x: np.ndarray, w: np.ndarray, wy: np.ndarray, depth: int | None) -> tup
     """Nodes ``feature, threshold, below, above, value`` of the tree of the rows ``x`` with weights and weighted sums.
 
     Each node takes the cut with the least squared error, the lowest feature and value among equals, halfway between
-    two values, until its rows agree in their means or in all features. A leaf has feature -1.
+    two values, until its rows agree in their means or in all features. A leaf has feature -1. All nodes of a level
+    are cut together, from rows sorted once by every feature, so a tree of many small nodes takes few steps.
     """
-    feature, threshold, below, above, value = [], [], [], [], []
-    means = wy / w
-
-    def node() -> int:
-        for column, default in zip((feature, threshold, below, above, value), (-1, 0.0, -1, -1, 0.0)):
-            column.append(default)
-        return len(feature) - 1
-
-    todo = [(node(), np.arange(len(w)), 0)]
-    while todo:
-        at, rows, level = todo.pop()
-        weight, total = w[rows].sum(), wy[rows].sum()
-        value[at] = total / weight
-        spread = np.ptp(means[rows])
-        if level == depth or spread <= 1e-12 * np.abs(means[rows]).max():
-            continue
-        best = None
-        for f in range(x.shape[1]):
-            order = rows[np.argsort(x[rows, f], kind="stable")]
-            xs = x[order, f]
-            cut = np.flatnonzero(xs[:-1] < xs[1:])
+    n, width = x.shape
+    means, parts = wy / w, []
+    # Places of the open rows by feature; rows of a node lie together, nodes in one order in all features.
+    order = [np.argsort(x[:, f], kind="stable") for f in range(width)]
+    sizes, made, level = np.array([n]), 1, 0
+    while len(sizes):
+        first = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        weight, total = np.add.reduceat(w[order[0]], first), np.add.reduceat(wy[order[0]], first)
+        m = means[order[0]]
+        low, high = np.minimum.reduceat(m, first), np.maximum.reduceat(m, first)
+        open_ = high - low > 1e-12 * np.maximum(np.abs(low), np.abs(high))
+        best = np.full(len(sizes), -np.inf)
+        feature, threshold, last = np.full(len(sizes), -1), np.zeros(len(sizes)), np.zeros(len(sizes), int)
+        for f in range(width if level != depth else 0):
+            xs, sums = x[order[f], f], []
+            cut = np.flatnonzero((xs[:-1] < xs[1:]) & (of[:-1] == of[1:]) & open_[of[:-1]])
             if not len(cut):
                 continue
-            cw, cy = np.cumsum(w[order])[cut], np.cumsum(wy[order])[cut]
-            gain = cy * cy / cw + (total - cy) ** 2 / (weight - cw)
-            k = int(np.argmax(gain))
-            if best is None or gain[k] > best[0] * (1 + 1e-12):
-                low, high = xs[cut[k]], xs[cut[k] + 1]
-                middle = (low + high) / 2
-                best = gain[k], f, middle if middle < high else low, order[: cut[k] + 1], order[cut[k] + 1 :]
-        if best is None:
-            continue
-        _, feature[at], threshold[at], left, right = best
-        below[at], above[at] = node(), node()
-        todo += [(below[at], left, level + 1), (above[at], right, level + 1)]
-    return tuple(np.array(c) for c in (feature, threshold, below, above, value))
+            node = of[cut]
+            for column in (w, wy):
+                run = np.cumsum(column[order[f]])
+                sums.append(run[cut] - np.where(first > 0, run[first - 1], 0.0)[node])
+            gain = sums[1] ** 2 / sums[0] + (total[node] - sums[1]) ** 2 / (weight[node] - sums[0])
+            start = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            top = np.maximum.reduceat(gain, start)
+            at = np.flatnonzero(gain == np.repeat(top, np.diff(np.r_[start, len(node)])))
+            at = at[np.r_[True, node[at][1:] != node[at][:-1]]]  # the lowest of equal cuts
+            better = (best[node[at]] == -np.inf) | (top > best[node[at]] * (1 + 1e-12))
+            at, top = at[better], top[better]
+            under, over = xs[cut[at]], xs[cut[at] + 1]
+            with np.errstate(invalid="ignore"):
+                middle = (under + over) / 2
+            chosen = node[at]
+            best[chosen], feature[chosen], last[chosen] = top, f, cut[at]
+            threshold[chosen] = np.where(middle < over, middle, under)
+        split = feature >= 0
+        child = np.where(split, made + 2 * (np.cumsum(split) - 1), -1)
+        parts.append((feature, threshold, child, np.where(split, child + 1, -1), total / weight))
+        made, level = made + 2 * int(split.sum()), level + 1
+        # Above or below its node's cut, by the cut's place in the order of its feature.
+        side = np.zeros(n, bool)
+        for f in np.unique(feature[split]):
+            places = np.flatnonzero(feature[of] == f)
+            side[order[f][places]] = places > last[of[places]]
+        kept = split[of]
+        group = 2 * (np.cumsum(split) - 1)[of[kept]]
+        for f in range(width):
+            rows = order[f][kept]
+            order[f] = rows[np.argsort(group + side[rows], kind="stable")]
+        sizes = np.bincount(group + side[order[0]], minlength=2 * int(split.sum())) if kept.any() else np.zeros(0, int)
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def leaf_values(x: np.ndarray, nodes: tuple) -> np.ndarray:

@@ -89,3 +89,15 @@ def test_nothing_to_learn_from(spark):
     empty = FO.fit_full_forest(rows.limit(0), FEATURES, "y", ["id"], 2, 42)
     assert {r.prediction for r in FO.predict(empty, rows).collect()} == {None}
     assert FO.predict(FO.fit_full_forest(rows, FEATURES, "y", ["id"], 2, 42), rows.limit(0)).count() == 0
+
+
+def test_a_tree_of_many_small_nodes_takes_few_steps(monkeypatch):
+    """Nodes of a level are cut together: rows are sorted per level and feature, not per node."""
+    rng, calls, sort = np.random.default_rng(3), [], np.argsort
+    x = np.unique(np.c_[rng.integers(0, 40, 3000), rng.random(3000)], axis=0)
+    w = np.ones(len(x))
+    y = rng.integers(1, 365, len(x)).astype(float)
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: calls.append(1) or sort(*a, **k))
+    nodes = FO.grow(x, w, y, None)
+    assert len(nodes[0]) > 5000 and len(calls) < 500
+    assert (FO.leaf_values(x, nodes) == y).all()
