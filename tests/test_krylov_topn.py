@@ -143,6 +143,46 @@ def test_most_pairs_of_a_skewed_catalogue_are_never_scored(spark):
         assert [s for _, s in lists[user]] == pytest.approx([s for _, s in rows], abs=2e-4)
 
 
+def test_most_pairs_of_a_flat_catalogue_are_never_scored(spark):
+    """Products of like length around a mean that all users share: their deviations decide, not their lengths."""
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((6000, 4)) * [0.3, 1, 1, 1] + [1, 0, 0, 0]
+    users = {u: np.array([9.0, *rng.standard_normal(3)]) for u in range(50)}
+    names = [f"f_{i}" for i in range(4)]
+    columns = ", ".join(f"{n} double" for n in names)
+    factors = spark.createDataFrame([(3 * c, c, *map(float, v)) for c, v in enumerate(vectors)], f"product_id long, code long, {columns}")
+    asked = spark.createDataFrame([(u, *map(float, v)) for u, v in users.items()], f"user_id long, {columns}")
+    known = spark.createDataFrame([(u, u) for u in users], "user_id long, code long")
+    rows = best_products(asked, known, factors, names, 5, block=1000, tile=64).collect()
+    got = {r["user_id"]: list(zip(r["products"], r["scores"])) for r in rows}
+    assert got == whole_lists(users, {u: {3 * u} for u in users}, [3 * c for c in range(6000)], vectors, 5)
+    assert sum(r["n_scored"] for r in rows) < 0.1 * 50 * 6000
+
+
+def test_parts_of_users_share_stretches_of_codes(spark, monkeypatch):
+    """Several parts and stretches, a user without an id, cells that come twice: the packed step equals numpy's product."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(krylov, "PART_CELLS", 2000)
+    n = krylov.STRETCH + 500
+    rows = [(int(u), int(c), float(x)) for u, c, x in zip(rng.integers(0, 300, 9000), rng.integers(0, n, 9000), rng.random(9000))]
+    x = np.zeros((300, n))
+    for u, c, score in rows:
+        x[u, c] += score
+    cells = spark.createDataFrame([*rows, (None, 7, 5.0)], "user_id long, code long, score double")
+    parts = krylov._parts(cells)
+    assert parts.count() > 2
+    start = rng.standard_normal((n, 3))
+    columns = ", ".join(f"f_{i} double" for i in range(3))
+    block = krylov._packed(spark.createDataFrame([(c, *map(float, v)) for c, v in enumerate(start)], f"code long, {columns}"), 3)
+    basis = block.select("stretch", F.lit(b"").alias("q"), F.lit(b"").alias("m"))
+    wanted = parts.select("part", "codes").mapInArrow(krylov._by_stretch, krylov._WANTED)
+    wide = krylov._with_image(parts, wanted, basis, block, 0, 3).orderBy("stretch").collect()
+    assert len(wide) == 2
+    own, image = (np.concatenate([np.frombuffer(bytes(r[k])).reshape(-1, 3) for r in wide]) for k in "qm")
+    met = (x > 0).any(axis=0)[:, None]
+    assert np.array_equal(own, start * met) and np.allclose(image, x.T @ (x @ (start * met)))
+
+
 def test_blocks_by_length(spark):
     factors = spark.range(500).select(
         F.col("id").alias("product_id"), F.col("id").alias("code"),
