@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import contextlib
 import functools
 import hashlib
 import itertools
@@ -19,7 +20,9 @@ from pyspark.sql import DataFrame
 from cartlens.llm.base import batches, slices
 from cartlens.llm.words import spans_hash
 
-_CACHED_PIECES = 1 << 20
+# What a worker remembers within a task: pieces with their ids, and pairs of tokens.
+_CACHED_PIECES = 1 << 18
+_CACHED_PAIRS = 1 << 18
 _IDS_AT_ONCE = 1 << 14
 # Arrays over these characters take about 100 bytes each while they are split and looked up.
 _CHARS_AT_ONCE = 1 << 19
@@ -140,7 +143,7 @@ class Vocabulary:
 
     def stable(self, left: int, right: int) -> bool:
         """As ``boundary_stable``, remembered."""
-        if len(self.known_stable) >= _CACHED_PIECES:
+        if len(self.known_stable) >= _CACHED_PAIRS:
             self.known_stable.clear()
         found = self.known_stable[left << 32 | right] = self.boundary_stable(left, right)
         return found
@@ -279,6 +282,11 @@ class Encoder:
         self.spell_firsts = np.zeros(0, np.int64)
         self.spell_sizes = np.zeros(0, np.int64)
 
+    def finish(self) -> None:
+        """Drop all that was remembered; the worker may go on with other work."""
+        self.forget()
+        self.v.known_stable.clear()
+
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Encode new pieces, in byte order so that each goes on from the start it shares with the one before."""
         if len(self.hashes) + len(hashes) > _CACHED_PIECES:
@@ -404,6 +412,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(Vocabulary(path))
 
 
+@contextlib.contextmanager
+def task_encoder(path: str) -> Iterator[Encoder]:
+    """The worker's encoder for one task. Workers live on, so what it remembers must not outlast the task."""
+    own = encoder(path)
+    try:
+        yield own
+    finally:
+        own.finish()
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Place of a tokenizer file on the machine that asks."""
     import public_tokenizers
@@ -419,10 +437,10 @@ def encode_texts(docs: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
     """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_path(name))
-        for batch in batches(found):
-            ids = own.encode(batch.column("text").fill_null("").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        with task_encoder(tokenizer_path(name)) as own:
+            for batch in batches(found):
+                ids = own.encode(batch.column("text").fill_null("").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary")
@@ -445,18 +463,18 @@ def digests(docs: DataFrame, name: str = "byte_bpe_50k.json") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every text: encoded, then decoded again."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_path(name))
-        for batch in batches(found):
-            out = []
-            for ids in own.encode(batch.column("text").fill_null("").to_pylist()):
-                back = hashlib.sha256()
-                for part in own.decode(ids):
-                    back.update(part.encode())
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), back.hexdigest()))
-            columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            )
+        with task_encoder(tokenizer_path(name)) as own:
+            for batch in batches(found):
+                out = []
+                for ids in own.encode(batch.column("text").fill_null("").to_pylist()):
+                    back = hashlib.sha256()
+                    for part in own.decode(ids):
+                        back.update(part.encode())
+                    out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), back.hexdigest()))
+                columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                )
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -97,8 +97,8 @@ def fit_quality(
     sample = labelled_sample(docs, labels, sample_docs)
     examples = sample.select("key", "doc_id", "label", "text")
     examples = examples.repartition(1).sortWithinPartitions("key", "doc_id").select("label", "text")
-    packed = examples.mapInArrow(lambda found: _examples(found, bits), "label int, features binary")
-    row = packed.mapInArrow(lambda found: _fit(found, bits, epochs), "weights binary").first()
+    # One step of Python: with two, the task's executor would start and keep two workers for it.
+    row = examples.mapInArrow(lambda found: _fit(_examples(found, bits), bits, epochs), "weights binary").first()
     return np.frombuffer(row["weights"], "<f8") if row else np.zeros((1 << bits) + 1)
 
 

@@ -1,8 +1,10 @@
 """The pipeline's stages one after another, each against its own operator or brute force."""
 
+import gc
 import hashlib
 
 import corpus_pipeline
+import pyarrow as pa
 from cartlens.llm import bpe
 
 FOLDER = "/root/testdata/sf0.001"
@@ -24,3 +26,16 @@ def test_stages(spark):
     own = bpe.encoder(bpe.tokenizer_path())
     want = sorted((r["doc_id"], hashlib.sha256(own.encode([r["text"]])[0]).hexdigest()) for r in mixed)
     assert sorted((r.doc_id, r.ids_sha256) for r in frames[-1].collect()) == want
+
+
+def test_workers_keep_no_encoder(spark):
+    """What the encoder holds ends with its task, so later stages in the same Python workers start without it."""
+    docs = spark.range(64).selectExpr("id AS doc_id", "concat('some words ', id) AS text").repartition(8)
+    assert bpe.digests(docs).count() == bpe.decode_ids(bpe.encode_texts(docs)).count() == 64
+
+    def held(found):
+        for batch in found:
+            kept = [o for o in gc.get_objects() if isinstance(o, bpe.Encoder) and len(o.hashes)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(kept)] * batch.num_rows, pa.int64())], ["n"])
+
+    assert {r.n for r in docs.mapInArrow(held, "n long").collect()} == {0}
