@@ -25,7 +25,7 @@ _CACHED_PIECES = 1 << 18
 _CACHED_PAIRS = 1 << 18
 _IDS_AT_ONCE = 1 << 14
 # Arrays over these characters take about 100 bytes each while they are split and looked up.
-_CHARS_AT_ONCE = 1 << 19
+_CHARS_AT_ONCE = 1 << 18
 _PIECES_COMPARED = 1 << 13
 
 # The endings that the vocabulary's pattern splits off after an apostrophe.
@@ -286,6 +286,7 @@ class Encoder:
         """Drop all that was remembered; the worker may go on with other work."""
         self.forget()
         self.v.known_stable.clear()
+        self.v._spines.clear()
 
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Encode new pieces, in byte order so that each goes on from the start it shares with the one before."""

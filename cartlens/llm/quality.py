@@ -58,13 +58,12 @@ def _fit(found: Iterator[pa.RecordBatch], bits: int, epochs: int) -> Iterator[pa
     for batch in batches(found):
         for label, packed in zip(batch.column("label").to_pylist(), batch.column("features").to_pylist()):
             features, counts = np.unique(np.frombuffer(packed, "<u4"), return_counts=True)
-            features = np.append(features.astype(np.int64), 1 << bits)
-            values = np.append(counts / np.sqrt(max(1, counts.sum())), 1.0)
-            examples.append((features, values, label))
+            examples.append((features, counts.astype("<u4"), label))
     model = Ftrl((1 << bits) + 1)
     for _ in range(epochs):
-        for example in examples:
-            model.update(*example)
+        for features, counts, label in examples:
+            values = np.append(counts / np.sqrt(max(1, counts.sum(dtype=np.int64))), 1.0)
+            model.update(np.append(features.astype(np.int64), 1 << bits), values, label)
     weights = model.weights()[:, 0].astype("<f8").tobytes()
     yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary())], ["weights"])
 
