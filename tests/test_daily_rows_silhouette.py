@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from cartlens import schemas
@@ -117,6 +118,31 @@ def test_a_sample_is_judged_against_all(clustered):
     assert all(abs(some[k] - whole[k]) < 0.15 and some[k] != whole[k] for k in models)
 
 
+def test_every_one_of_many_points_is_judged(spark, monkeypatch):
+    """More points than a task holds, a third of them equal, ids that are missing or repeat: the mean over all of them."""
+    n = 21_000
+    monkeypatch.setattr("cartlens.operators.silhouette.CHUNK", 1 << 11)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((n, 2)) + np.where(np.arange(n) % 4 == 0, 4, 0)[:, None]
+    x[::3] = [7.0, 0.1]
+    ids = [None if u % 10 == 0 else u // 2 for u in range(n)]
+    vectors = spark.createDataFrame([(u, Vectors.dense(v)) for u, v in zip(ids, x)], ["user_id", "features"]).persist()
+    models = {k: KMeans(k=k, seed=1, maxIter=3).fit(vectors) for k in (2, 3)}
+    found = silhouettes(vectors, models)
+    for k, model in models.items():
+        labels = np.array([((v - np.array(model.clusterCenters())) ** 2).sum(axis=1).argmin() for v in x])
+        members = np.eye(k)[labels]
+        sums = np.concatenate([
+            np.sqrt(sum((x[at : at + 500, d, None] - x[:, d]) ** 2 for d in range(2))) @ members for at in range(0, n, 500)
+        ])
+        size, rows = members.sum(axis=0), np.arange(n)
+        inside = sums[rows, labels] / (size[labels] - 1)
+        means = sums / size
+        means[rows, labels] = np.inf
+        outside = means.min(axis=1)
+        assert found[k] == pytest.approx(((outside - inside) / np.maximum(inside, outside)).mean(), abs=1e-9)
+
+
 def test_a_hot_group_leaves_no_large_task(spark):
     """A basket with a third of all rows: its pairs are dealt to many tasks, without a window over it."""
     rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 997).alias("g"), F.col("id").alias("p"))
