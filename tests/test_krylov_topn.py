@@ -183,6 +183,33 @@ def test_parts_of_users_share_stretches_of_codes(spark, monkeypatch):
     assert np.array_equal(own, start * met) and np.allclose(image, x.T @ (x @ (start * met)))
 
 
+def test_parts_of_codes_exchange_sums_of_users(spark, monkeypatch):
+    """More codes than users, a best seller's stretch over several parts, a user without an id, cells that come twice."""
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(krylov, "PART_CELLS", 1000)
+    monkeypatch.setattr(krylov, "CODE_PART_CELLS", 2000)
+    n, m = 3 * krylov.STRETCH + 500, 2500
+    codes = np.where(rng.random(15_000) < 0.4, 3, rng.integers(0, n, 15_000))
+    rows = [(int(u) * 7 - 40, int(c), float(x)) for u, c, x in zip(rng.integers(0, m, 15_000), codes, rng.random(15_000))]
+    x = np.zeros((m, n))
+    for u, c, score in rows:
+        x[(u + 40) // 7, c] += score
+    cells = spark.createDataFrame([*rows, (None, 7, 5.0)], "user_id long, code long, score double").repartition(5)
+    shares = krylov._by_code(cells, n)
+    start = rng.standard_normal((n, 3))
+    columns = ", ".join(f"f_{i} double" for i in range(3))
+    block = krylov._packed(spark.createDataFrame([(c, *map(float, v)) for c, v in enumerate(start)], f"code long, {columns}"), 3)
+    found = shares(block, 3)
+    # The first stretch has more cells than a part may hold.
+    assert found.where("stretch = 0").select("part").distinct().count() >= 3
+    basis = block.select("stretch", F.lit(b"").alias("q"), F.lit(b"").alias("m"))
+    wide = krylov._with_shares(basis, block, found, 0, 3).orderBy("stretch").collect()
+    own, image = (np.concatenate([np.frombuffer(bytes(r[k])).reshape(-1, 3) for r in wide]) for k in "qm")
+    met = (x > 0).any(axis=0)[:, None]
+    assert np.array_equal(own, start * met) and np.allclose(image, x.T @ (x @ (start * met)))
+    assert krylov._by_code(cells, m // 2) is None
+
+
 def test_blocks_by_length(spark):
     factors = spark.range(500).select(
         F.col("id").alias("product_id"), F.col("id").alias("code"),
