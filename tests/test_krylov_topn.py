@@ -56,6 +56,12 @@ def test_a_small_catalogue_is_exact_after_one_pass(spark):
     assert np.allclose(fitted.report.orderBy("component").toPandas()["strength"], np.linalg.svd(x)[1][:11])
 
 
+def test_a_rank_asked_for_counts_no_users(spark, monkeypatch):
+    monkeypatch.setattr(CF, "matrix_shape", lambda scores: pytest.fail("counted"))
+    x = np.random.default_rng(4).random((9, 5))
+    assert np.allclose(CF.fit_reported(frame_of(spark, x), rank=2).report.orderBy("component").toPandas()["strength"], np.linalg.svd(x)[1][:2])
+
+
 def test_what_does_not_converge_is_said(spark, monkeypatch):
     x = np.random.default_rng(2).random((60, 50))
     codes = spark.createDataFrame([(p,) for p in range(50)], "code long")
